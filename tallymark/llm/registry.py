@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from tallymark.llm.decontamination import op8_decontamination
 from tallymark.llm.html_extraction import op9_html_extraction
 from tallymark.llm.language_id import op2_language_id
+from tallymark.llm.ngram_join import op1_ngram_jaccard_join
 from tallymark.llm.packing import op5_packing
 from tallymark.llm.quality_rules import OP4_SQL, op4_quality_rules
 from tallymark.llm.toxicity import op3_toxicity
 from tallymark.llm.warc import OP7_SQL, op7_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_language_id": op2_language_id,
     "op3_toxicity": op3_toxicity,
     "op4_quality_rules": op4_quality_rules,
