@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tallymark.llm.decontamination import op8_decontamination
 from tallymark.llm.html_extraction import op9_html_extraction
 from tallymark.llm.language_id import op2_language_id
+from tallymark.llm.line_dedup import op10_line_dedup
 from tallymark.llm.ngram_join import op1_ngram_jaccard_join
 from tallymark.llm.packing import op5_packing
 from tallymark.llm.quality_rules import OP4_SQL, op4_quality_rules
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_warc": op7_warc,
     "op8_decontamination": op8_decontamination,
     "op9_html_extraction": op9_html_extraction,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
