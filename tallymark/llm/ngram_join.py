@@ -172,13 +172,18 @@ def join_ngrams(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> D
     spark, limit = docs.sparkSession, Threshold(num, den)
     scratch = Scratch(spark, "ngram-join")
     found, _ = text_sets(docs, n, limit)
-    sets = scratch.save(found, "sets")
+    made = scratch.save(found, "made")
+    sets = scratch.save(made.select("doc_id", "n", "k1", "k2"), "sets")
     whole = [F.first(c).alias(c) for c in ("n", "common", "sig", "slack", "lone")]
-    reps = scratch.save(sets.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *whole), "reps")
+    reps = scratch.save(made.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *whole), "reps")
+    scratch.drop(made)
     entries = reps.select(F.col("k1").alias("node"), "n", (F.col("copies") * 1e9 + F.col("common")).alias("rank"), F.explode(F.arrays_zip("sig", "slack", "lone")).alias("e"))
     buckets = shared_only(scratch, entries.select("e.sig", "node", "rank", "n", "e.slack", "e.lone"))
+    scratch.release()
     candidates = candidate_sets(scratch, docs, buckets.select("node").distinct(), n)
 
+    scratch.release()
+
     def feasible(x: Column, y: Column) -> Column:
         need = limit.overlap(x["n"], y["n"])
         return ~(x["lone"] & y["lone"]) & (F.least(x["n"] - x["slack"], y["n"] - y["slack"]) >= need)
