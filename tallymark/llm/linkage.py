@@ -79,9 +79,13 @@ def ordered(pairs: DataFrame) -> DataFrame:
 
 
 def shared_only(scratch: Scratch, buckets: DataFrame) -> DataFrame:
-    """The rows of ``buckets`` whose signature more than one node has, as a written table."""
-    shared = buckets.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("sig")
-    return scratch.save(buckets.join(shared, "sig", "left_semi"), "buckets")
+    """The rows of ``buckets`` whose signature more than one row has, as a written table.
+
+    A node must not repeat a signature. Signatures are counted before the rows themselves move; the few that
+    are shared are the hashed side of the join, so the many rows need no sort.
+    """
+    shared = buckets.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1").select("sig")
+    return scratch.save(buckets.join(shared.hint("shuffle_hash"), "sig", "left_semi"), "buckets")
 
 
 def gather_cells(df: DataFrame, fill: Callable[[np.ndarray, pa.RecordBatch], None], cells: int, dtype: str, chunks: int = 64) -> np.ndarray:
