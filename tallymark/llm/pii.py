@@ -123,12 +123,15 @@ def disclosing_terms(scratch: Scratch, docs: DataFrame, near: DataFrame, support
     """(entity, term, disclosure): PMI of term and entity over the entity's information content, capped at 1."""
     contexts = near.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("ce"))
     pairs = near.select("entity", "context", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("cet")).filter(F.col("cet") >= support)
-    pairs = scratch.save(pairs.join(contexts, "entity"), "pairs")
-    counts = term_frequencies(docs, pairs.select("term").distinct())
     total = float(max(2, docs.count()))
+    information = F.log2(total / F.least(F.col("ce").cast("double"), F.lit(total / 2)))
+    # the documents that have a term near any entity bound its frequency from below, and so its disclosure from above
+    at_least = near.select("row", "term").distinct().groupBy("term").agg(F.count("*").alias("low"))
+    bound = F.log2(F.col("cet") * total / (F.greatest("low", "cet") * F.col("ce"))) / information
+    pairs = scratch.save(pairs.join(contexts, "entity").join(at_least, "term").filter(bound >= least).drop("low"), "pairs")
+    counts = term_frequencies(docs, pairs.select("term").distinct())
     # the pair's contexts bound the term's frequency from below, should a term occur inside longer words only
     ct = F.greatest(F.col("documents"), F.col("cet")).cast("double")
-    information = F.log2(total / F.least(F.col("ce").cast("double"), F.lit(total / 2)))
     pmi = F.log2(F.col("cet") * total / (ct * F.col("ce")))
     scored = pairs.join(counts, "term").select("entity", "term", F.least(pmi / information, F.lit(1.0)).alias("disclosure"))
     return scored.filter(F.col("disclosure") >= least)
