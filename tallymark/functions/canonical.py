@@ -37,7 +37,7 @@ def canonical_number(text: Column) -> Column:
     value = F.coalesce(fraction, number)
     suffix = strip(F.regexp_replace(t, F.when(fraction.isNotNull(), F.lit(FRACTION)).otherwise(F.lit(plain)), F.lit("")))
     shown = F.when((F.abs(value) >= 1e6) & (value == F.floor(value)), value.cast("decimal(38,0)").cast("string")).otherwise(format_g(value))
-    return F.when(suffix.isin('"', "'"), F.concat(shown, suffix)).when(suffix == "", shown).otherwise(F.concat_ws(" ", shown, suffix))
+    return F.when(value.isNull(), F.lit(None).cast("string")).when(suffix.isin('"', "'"), F.concat(shown, suffix)).when(suffix == "", shown).otherwise(F.concat_ws(" ", shown, suffix))
 
 
 def from_vocabulary(text: Column, vocabulary: Column) -> Column:
