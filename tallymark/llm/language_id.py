@@ -59,6 +59,8 @@ class Trees:
         self.costs: list[np.ndarray] = []
         self.contexts: list[np.ndarray] = []
         self.escapes: list[np.ndarray] = []
+        if not samples:
+            return
         data = [[np.frombuffer(normal(t), np.uint8) for t in samples[x]] for x in self.langs]
         lower = np.full((256, shape), 8.0)  # order -1: uniform over bytes
         for order in range(ORDER + 1):

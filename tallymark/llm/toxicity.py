@@ -165,6 +165,8 @@ class Scorer:
         return max(strengths), math.log1p(sum(strengths)), sum(f < 0.5 for f in factors) / len(hits)
 
     def score(self, text: str | None) -> float:
+        if not self.lexicon.size:
+            return float(self.bias > 0)
         z = self.bias + sum(w * x for w, x in zip(self.weights, self.features(text), strict=True))
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, z))))
 
