@@ -114,7 +114,7 @@ def test_line_dedup_equals_brute_force(spark):
     got = line_dedup.dedup_lines(docs).collect()
     for row in got:
         if row.doc_id is None or row.doc_id == 26 or texts[row.doc_id] is None:
-            assert row.__removed is None if hasattr(row, "__removed") else True
+            assert row["__removed"] is None
             continue
         kept = [x for p, x in enumerate(texts[row.doc_id].split("\n")) if (row.doc_id, p) not in gone]
         assert row.text == "\n".join(kept)
@@ -156,7 +156,6 @@ def test_warc_round_trip_and_pushdown(spark):
     assert {bytes(r.payload).decode() for r in rows if r.record_type == "response"} == {body, "short", "", "é\r\n\r\nend"}
     revisit = read.filter("record_type = 'revisit'").collect()
     assert [(r.record_id, r.refers_to, r.payload) for r in revisit] == [("<urn:page:4>", "<urn:page:2>", None)]
-    assert "PushedFilters: []" not in read.filter("record_type = 'revisit'")._jdf.queryExecution().toString() or True
     assert all(r.payload is None for r in warc.read_archive(spark, path, payload=False).collect())
     empty = Scratch(spark, "warc").path("e")
     warc.archive_pages(df.limit(0), empty)
