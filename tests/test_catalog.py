@@ -58,10 +58,10 @@ def test_constraint_logic(spark, expression, env, holds, broken):
     assert references(expression) >= set(env)
 
 
-@pytest.mark.parametrize(("text", "want"), [("1/4", "0.25"), ("25 mm", "25 mm"), ('1-1/4"', '1.25"'), ("15/16", "0.9375"), ("11/4", "2.75"), ("1,200 psi", "1200 psi"), ("12,7 mm", "12.7 mm"), (".500", "0.5"), ("1000000 psi", "1000000 psi"), ("odd", None), ("-1/2", "-0.5"), ("1/0", None)])
+@pytest.mark.parametrize(("text", "want"), [("1/4", "0.25"), ("25 mm", "25 mm"), ('1-1/4"', '1.25"'), ("15/16", "0.9375"), ("11/4", "2.75"), ("1,200 psi", "1200 psi"), ("12,7 mm", "12.7 mm"), (".500", "0.5"), ("1000000 psi", "1000000 psi"), ("odd", None), ("-1/2", "-0.5")])
 def test_canonical_number(spark, text, want):
     got = spark.createDataFrame([(text,)], "t string").select(canonical_number(F.col("t"))).first()[0]
-    assert got == want or text == "1/0"
+    assert got == want
 
 
 def test_fraction(spark):
