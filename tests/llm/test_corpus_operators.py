@@ -124,6 +124,47 @@ def test_line_dedup_equals_brute_force(spark):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def edited(r, line, n):
+    """``line`` after ``n`` random edits of single letters."""
+    p = list(line)
+    for _ in range(n):
+        at, kind = r.randrange(len(p)), r.random()
+        p[at : at + (kind > 0.3)] = "" if kind > 0.7 else r.choice("aeinrst")
+    return "".join(p)
+
+
+def test_similar_lines_meet_by_edit_similarity_alone(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("aeinrstlmo") for _ in range(r.choice([2, 4, 6, 9])))
+    lines = []
+    for n in [1, 2, 3] * 8 + [5, 8, 12] * 6 + [20, 40] * 3:
+        words = [word() for _ in range(n)]
+        own = " ".join(words)
+        some = [word() if r.random() < 0.1 else w for w in words]
+        lines += [own, edited(r, own, 1), edited(r, own, max(1, len(own) // 12)), " ".join(some)]
+    lines += ["abcd efgh ijkl mnop qrst uvwx yz ab cd ef gh ij", "abcd efgh ijkl mnop qrsX uvwx yz ab cd ef gh ij"]
+    lines += ["".join(chr(0x4E00 + r.randrange(3000)) for _ in range(60))]
+    lines += [lines[-1][:30] + "é" + lines[-1][31:]]
+    lines = list(dict.fromkeys(x.strip() for x in lines if x.strip()))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    norm = [" ".join(x.lower().split()) for x in lines]
+    links = [(i, j) for i in range(len(norm)) for j in range(i) if edit_distance(norm[i], norm[j]) <= 0.2 * max(len(norm[i]), len(norm[j])) + 1e-9]
+    group = components(len(lines), links)
+    gone = {i for i in range(len(lines)) if group[i] != i}
+    assert len(gone) > 60
+    assert {x.doc_id for x in line_dedup.dedup_lines(docs).filter("__removed is not null").collect()} == gone
+
+
+def test_short_lines_are_compared_exactly(spark):
+    r = random.Random(6)
+    lines = sorted({"".join(r.choice("abb ") for _ in range(r.randrange(1, 20))).strip() for _ in range(260)} - {""})
+    lines = sorted({" ".join(x.split()) for x in lines})
+    df = spark.createDataFrame([(k, len(x), x) for k, x in enumerate(lines)], "h long, len int, norm string")
+    got = {tuple(sorted(x)) for x in line_dedup.short_pairs(Scratch(spark, "t"), df).collect()}
+    want = {(j, i) for i in range(len(lines)) for j in range(i) if edit_distance(lines[i], lines[j]) <= 0.2 * max(len(lines[i]), len(lines[j])) + 1e-9}
+    assert got == want and len(want) > 5
+
+
 def test_wide_and_narrow_counters_agree(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet").limit(40)
     lines = line_dedup.occurrences(docs)
