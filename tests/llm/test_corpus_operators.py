@@ -155,6 +155,14 @@ def test_similar_lines_meet_by_edit_similarity_alone(spark):
     assert {x.doc_id for x in line_dedup.dedup_lines(docs).filter("__removed is not null").collect()} == gone
 
 
+def test_lines_of_frequent_words_meet(spark):
+    line = "alpha alpha beta " * 8
+    docs = spark.createDataFrame([(1, line + "omega9x"), (2, line + "sigma7q"), (3, "quite another line of words")], "doc_id long, text string")
+    a, b, _ = (r.sh for r in line_dedup.line_hashes(docs).orderBy("doc_id").collect())
+    assert bin((a ^ b) & (2**64 - 1)).count("1") <= 3
+    assert [r.doc_id for r in line_dedup.dedup_lines(docs).filter("__removed is not null").collect()] == [2]
+
+
 def test_short_lines_are_compared_exactly(spark):
     r = random.Random(6)
     lines = sorted({"".join(r.choice("abb ") for _ in range(r.randrange(1, 20))).strip() for _ in range(260)} - {""})
