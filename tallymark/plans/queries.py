@@ -228,7 +228,7 @@ def spread_by_status(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def ensemble_agreement(spark: SparkSession, d: str) -> DataFrame:
-    turns = table(spark, d, "conversations").select(F.col("conv_id").alias("sku"), F.col("role").alias("attribute"), "turn", F.substring("text", 1, 80).alias("value"))
+    turns = table(spark, d, "conversations").select(F.col("conv_id").alias("sku"), F.col("role").alias("attribute"), "turn", F.col("text").alias("value"))
     index = ensemble_index(turns.filter("turn > 0"), ["turn"])
     first = turns.groupBy("sku", "attribute").agg(F.min_by("value", "turn").alias("raw"))
     return verify_ensemble(first, index).select("sku", "attribute", F.col("ensemble.applicable").alias("applicable"), r6(F.col("ensemble.trust")).alias("trust"))

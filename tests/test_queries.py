@@ -1,3 +1,6 @@
+from difflib import SequenceMatcher
+from itertools import combinations
+
 import duckdb
 import pytest
 
@@ -32,6 +35,16 @@ def test_query_equals_sql(spark, duck, name):
         assert canonical(got, df.columns) == canonical(want.fetchall(), want.columns)
 
 
+def test_ensemble_compares_whole_texts(spark, tmp_path):
+    same = "the same long beginning of every answer " * 3
+    turns = [(1, 0, "user", same + "red"), (1, 1, "user", same + "an altogether different end"), (1, 2, "user", same + "RED "), (2, 0, "user", "short"), (2, 1, "user", "Short"), (3, 0, "user", "alone")]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.sku: (r.applicable, r.trust) for r in QUERIES["ensemble_agreement"](spark, str(tmp_path)).collect()}
+    own = [t.strip().lower() for c, _, _, t in turns if c == 1]
+    ratios = [1.0 if a == b else SequenceMatcher(None, a, b).ratio() for a, b in combinations(own, 2)]
+    assert got == {1: (True, pytest.approx(sum(ratios) / 3, abs=1e-6)), 2: (True, 1.0), 3: (False, 0.0)} and got[1][1] < 0.95
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
