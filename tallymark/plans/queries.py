@@ -281,6 +281,20 @@ def grounding(spark: SparkSession, d: str) -> DataFrame:
     return g.select("doc_id", F.lower("g.quote").alias("quote"), "g.start")
 
 
+@query(r"""WITH w AS (SELECT doc_id, text, string_split(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS ws FROM documents),
+v AS (SELECT doc_id, text, 'whole' AS kind, trim(concat_ws(' ', ws[1], ws[2])) AS raw FROM w UNION ALL SELECT doc_id, text, 'part', 'qqqqqqqqqqqq ' || ws[1] FROM w UNION ALL SELECT doc_id, text, 'none', 'zzzzq' FROM w),
+t AS (SELECT doc_id, text, kind, trim(raw) AS raw, list_sort(list_transform(list_filter(string_split(trim(raw), ' '), lambda t: length(t) >= 2), lambda t, i: {'n': -length(t), 'i': i, 't': t})) AS ranked FROM v),
+h AS (SELECT doc_id, text, kind, list_filter(list_concat([raw], list_transform(ranked, lambda s: s.t), [replace(raw, ' ', '')]), lambda c: c <> '' AND contains(lower(text), lower(c)))[1] AS hit FROM t)
+SELECT doc_id, kind, lower(hit) AS quote, (strpos(lower(text), lower(hit)) - 1)::INT AS start FROM h""")
+def grounding_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with a value that its first words support, one of which only a part stands in it, and one foreign to it."""
+    ws = F.split(F.regexp_replace("text", r"\s+", " "), " ")
+    first = table(spark, d, "documents").select("doc_id", "text", F.trim(F.array_join(F.slice(ws, 1, 2), " ")).alias("whole"), F.concat(F.lit("qqqqqqqqqqqq "), F.get(ws, F.lit(0))).alias("part"))
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), raw.alias("raw")) for k, raw in (("whole", F.col("whole")), ("part", F.col("part")), ("none", F.lit("zzzzq")))])
+    each = first.select("doc_id", "text", F.explode(kinds).alias("v")).withColumn("g", ground(F.col("v.raw"), F.col("text")))
+    return each.select("doc_id", "v.kind", F.lower("g.quote").alias("quote"), "g.start")
+
+
 @query("""WITH p AS (SELECT p_partkey AS sku, 'brand' AS attribute, p_brand AS raw, 'rules' AS proposer FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, 'type', p_type, 'rules' FROM part WHERE p_partkey % 2 = 0),
 s AS (SELECT p_partkey AS sku, 'brand' AS attribute, p_name AS raw, 'model' AS proposer FROM part UNION ALL SELECT p_partkey, 'type', p_name, 'model' FROM part)
 SELECT * FROM p UNION ALL SELECT s.* FROM s ANTI JOIN p USING (sku, attribute)""")

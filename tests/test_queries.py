@@ -45,6 +45,17 @@ def test_ensemble_compares_whole_texts(spark, tmp_path):
     assert got == {1: (True, pytest.approx(sum(ratios) / 3, abs=1e-6)), 2: (True, 1.0), 3: (False, 0.0)} and got[1][1] < 0.95
 
 
+def test_every_document_is_grounded(spark, tmp_path):
+    texts = {0: "Steel ball valve", 1: "one\ntwo three", 2: "x", 3: "", 4: None, 5: "Long words " * 400, 6: "a zzzzq b"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.kind): (r.quote, r.start) for r in QUERIES["grounding_all"](spark, str(tmp_path)).collect()}
+    none = (None, None)
+    want = {0: [("steel ball", 0), ("steel", 0), none], 1: [("one", 0), ("one", 0), none], 2: [("x", 0), none, none], 3: [none] * 3, 4: [none] * 3, 5: [("long words", 0), ("long", 0), none], 6: [("a zzzzq", 0), none, ("zzzzq", 2)]}
+    assert got == {(k, kind): x for k, xs in want.items() for kind, x in zip(("whole", "part", "none"), xs, strict=True)}
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").count()
+    assert QUERIES["grounding_all"](spark, DIR).select("doc_id").distinct().count() == docs
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
