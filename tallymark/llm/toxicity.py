@@ -84,7 +84,7 @@ class Lexicon:
         n = len(word)
         if n < 3 or not self.possible(word):
             return None
-        most = budget(n + 1)
+        most = budget(n + 2)  # of the longest term that may lose letters to this word
         exact = word in self.known
         places: dict[str, int] = {}
         for k, c in enumerate(word):

@@ -130,6 +130,23 @@ def test_automaton_equals_edit_distance(term, edits):
     assert (got and got[1]) == want if len(word) >= 3 else got is None
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.sampled_from(["grumbler", "nitwitty", "worthless", "scoundrel"]), st.lists(st.tuples(st.integers(0, 12), st.sampled_from("aiorst"), st.integers(0, 2)), max_size=3))
+def test_edits_follow_the_term_alone(term, edits):
+    word = term
+    for at, c, kind in edits:
+        at = min(at, len(word))
+        word = word[:at] + c + word[at + (kind == 0) :] if kind < 2 else word[:at] + word[at + 1 :]
+    terms = ("grumbler", "nitwitty", "worthless", "scoundrel")
+    want = min((d for t in terms if (d := distance(word, t)) <= toxicity.budget(len(t))), default=None)
+    got = toxicity.Lexicon(dict.fromkeys(terms, 1.0), {}).match(word)
+    assert (got and got[1]) == want
+
+
+def test_two_letters_may_drop_out_of_eight():
+    assert toxicity.Lexicon({"grumbler": 1.0}, {}).match("grmblr") == (0.7, 2)
+
+
 def test_context_tells_quotation_from_abuse():
     lexicon = toxicity.Lexicon({"idiot": 1.0}, {"lowe": 1.0}, frozenset({"idiots"}))
     s = toxicity.Scorer(lexicon, (4.0, 4.0, 0.0), -5.0)
