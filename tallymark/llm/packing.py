@@ -13,6 +13,7 @@ hash; other columns are ignored unless they are carried along on purpose.
 from __future__ import annotations
 
 import json
+import re
 import sys
 from array import array
 from functools import cache
@@ -76,21 +77,37 @@ class Encoder:
     """Byte-level BPE over a vocabulary file, with a cache of chunks between single spaces.
 
     Between single white-space characters pre-tokens never cross a space, so chunks are encoded one by one.
-    Texts with other or repeated white space are encoded whole.
+    Texts with other or repeated white space are encoded whole. With ``added``, added tokens of the vocabulary
+    that a text spells out become their ids, as tokenizers do by default; otherwise they are text like any other.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         alphabet, special = byte_alphabet(), {t["content"] for t in spec.get("added_tokens", ())}
         ranks = {bytes(alphabet[c] for c in token): k for token, k in spec["model"]["vocab"].items() if token not in special}
         self.plain = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.chunks = Chunks(self.plain)
+        own = [t for t in spec.get("added_tokens", ()) if added]
+        if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in own):
+            raise ValueError("added tokens that take in white space or need whole words are not supported")
+        self.added = {t["content"]: t["id"] for t in own}
+        self.cut = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if own else None
+
+    def split(self, text: str) -> list[int]:
+        """The ids of a text that may hold added tokens."""
+        ids, at = [], 0
+        for m in self.cut.finditer(text):
+            ids += [*self.plain(text[at : m.start()]), self.added[m[0]]]
+            at = m.end()
+        return ids + self.plain(text[at:])
 
     def ids(self, text: str | None) -> bytes:
         """The text's ids and the end id, 4 bytes each."""
         if not text:
             return packed([END_ID])
+        if self.cut and self.cut.search(text):
+            return packed([*self.split(text), END_ID])
         words = text.split()
         gaps = len(words) - 1
         if len(text) - len("".join(words)) != gaps or text.count(" ") + text.count("\n") != gaps:
@@ -100,16 +117,16 @@ class Encoder:
 
 
 @cache
-def encoder(path: str) -> Encoder:
+def encoder(path: str, added: bool = False) -> Encoder:
     """One per worker process."""
-    return Encoder(path)
+    return Encoder(path, added)
 
 
-def tokenize_pieces(docs: DataFrame, vocabulary: str, size: int = SEQUENCE) -> DataFrame:
+def tokenize_pieces(docs: DataFrame, vocabulary: str, size: int = SEQUENCE, added: bool = False) -> DataFrame:
     """Pieces (doc_id, start, length, doc_tokens, ids) that cover each document's ids once; ids are unsigned 32-bit."""
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encode, rows = encoder(vocabulary).ids, []
+        encode, rows = encoder(vocabulary, added).ids, []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             ids = encode(text)
             n = len(ids) // 4
@@ -164,8 +181,8 @@ def pack(docs: DataFrame, vocabulary: str) -> DataFrame:
 
 
 def packed_digest(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """As ``pack``, with the ids' crc32 in place of the ids, which then need not be shuffled."""
-    pieces = tokenize_pieces(docs, vocabulary).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    """As ``pack``, with the ids' crc32 in place of the ids, which then need not be shuffled, and added tokens as the tokenizer takes them."""
+    pieces = tokenize_pieces(docs, vocabulary, added=True).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return assign_sequences(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

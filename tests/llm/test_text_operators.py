@@ -212,6 +212,19 @@ def test_encoder_equals_the_library(text):
     assert np.frombuffer(e.ids(text), "<u4").tolist() == ([*e.plain(text), 1] if text else [1])
 
 
+def test_added_tokens_are_taken_as_by_default(spark):
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.default_vocabulary())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\ny ", "two  <|endoftext|>\t", "<|endof text|>", "plain words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in packing.packed_digest(docs, packing.default_vocabulary()).collect()}
+    want = [tok.encode(t, add_special_tokens=False).ids + [packing.END_ID] for t in texts]
+    assert got == {k: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for k, x in enumerate(want)}
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(1, 100), max_size=60))
 def test_first_fit_decreasing(lengths):
