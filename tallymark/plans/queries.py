@@ -193,6 +193,12 @@ def constraint_missing_inputs(spark: SparkSession, d: str) -> DataFrame:
     return out.select("sku", "attribute", F.col("constraint.trust").alias("trust"))
 
 
+@query(f"WITH {SIBLINGS} SELECT sku, attribute, trust::DOUBLE AS trust FROM v")
+def constraint_trusts_all(spark: SparkSession, d: str) -> DataFrame:
+    """As ``constraint_missing_inputs``, of every part."""
+    return verify_constraints(siblings(spark, d), SIZES).select("sku", "attribute", F.col("constraint.trust").alias("trust"))
+
+
 @query("SELECT event_type, round(median(value), 6) AS median, round(mad(value), 6) AS mad, count(value) AS n FROM events GROUP BY 1")
 def coherence_profile(spark: SparkSession, d: str) -> DataFrame:
     p = numeric_profile(table(spark, d, "events"), ["event_type"], "value")
@@ -241,6 +247,14 @@ def ensemble_lists(spark: SparkSession, d: str) -> DataFrame:
     return ensemble_index(e, ["event_id"]).select("sku", F.size("samples").cast("long").alias("n"), F.array_join(others(F.lit("view"), F.col("samples")), ",").alias("others"))
 
 
+@query("""WITH i AS (SELECT user_id AS sku, list(event_type ORDER BY event_id) AS s FROM events GROUP BY 1)
+SELECT sku, len(s) AS n, array_to_string(list_sort(list_distinct(list_filter(s, lambda x: x <> 'view')))[1:3], ',') AS others FROM i""")
+def ensemble_lists_all(spark: SparkSession, d: str) -> DataFrame:
+    """As ``ensemble_lists``, of every event."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("sku"), F.lit("event").alias("attribute"), "event_id", F.col("event_type").alias("value"))
+    return ensemble_index(e, ["event_id"]).select("sku", F.size("samples").cast("long").alias("n"), F.array_join(others(F.lit("view"), F.col("samples")), ",").alias("others"))
+
+
 # ---- extraction ------------------------------------------------------------------------------------
 
 

@@ -56,6 +56,12 @@ def test_every_document_is_grounded(spark, tmp_path):
     assert QUERIES["grounding_all"](spark, DIR).select("doc_id").distinct().count() == docs
 
 
+def test_all_events_and_parts_are_covered(spark):
+    events, parts = (spark.read.parquet(f"{DIR}/{t}.parquet") for t in ("events", "part"))
+    assert QUERIES["ensemble_lists_all"](spark, DIR).agg({"n": "sum"}).first()[0] == events.filter("event_type is not null").count()
+    assert QUERIES["constraint_trusts_all"](spark, DIR).select("sku").distinct().count() == parts.count()
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
