@@ -4,7 +4,8 @@ Base spans are e-mail addresses, IP addresses, card and phone numbers found by f
 found are the protected entities. Around each occurrence a window of text gives context terms; over the
 whole corpus, the pointwise mutual information of term and entity, as a share of the entity's information
 content, says how strongly the term reveals the entity. Terms at or over the disclosure threshold, seen with
-the entity in enough different contexts, become spans of kind ``term`` beside it. ``sanitise`` generalises
+the entity in enough different contexts, become spans of kind ``term`` wherever they stand in a text that
+holds the entity. ``sanitise`` generalises
 base spans to their kind; it generalises disclosing terms too, and removes those that all but name the entity.
 
 Copies of a context count once. Term frequencies count all documents.
@@ -98,11 +99,14 @@ def base_table(docs: DataFrame) -> DataFrame:
     return found.select("row", "doc_id", "base", F.when(F.size("base") > 0, context).alias("contexts"))
 
 
+def entity_of(span: Column) -> Column:
+    return F.xxhash64(span["kind"], F.when(span["kind"] >= 1, digits(span["value"])).otherwise(F.lower(span["value"])))
+
+
 def context_terms(base: DataFrame) -> DataFrame:
     """(row, entity, context, term, start, end) of the words around each base span, outside all base spans."""
     each = base.filter("size(base) > 0").select("row", "base", F.explode(F.arrays_zip("base", "contexts")).alias("z"))
-    value = F.when(F.col("z.base.kind") >= 1, digits(F.col("z.base.value"))).otherwise(F.lower("z.base.value"))
-    around = each.select("row", "base", F.xxhash64(F.col("z.base.kind"), value).alias("entity"), F.xxhash64("z.contexts.context").alias("context"), "z.contexts.at", "z.contexts.last", F.length("z.contexts.context").alias("size"), F.explode(located(F.col("z.contexts.context"), TERM)).alias("t"))
+    around = each.select("row", "base", entity_of(F.col("z.base")).alias("entity"), F.xxhash64("z.contexts.context").alias("context"), "z.contexts.at", "z.contexts.last", F.length("z.contexts.context").alias("size"), F.explode(located(F.col("z.contexts.context"), TERM)).alias("t"))
     start, end = F.col("at") + F.col("t.start"), F.col("at") + F.col("t.end")
     whole = ((F.col("t.start") > 0) | (F.col("at") == 0)) & ((F.col("t.end") < F.col("size")) | F.col("last"))
     free = ~F.exists("base", lambda s: (s["start"] < end) & (start < s["end"]))
@@ -137,13 +141,26 @@ def disclosing_terms(scratch: Scratch, docs: DataFrame, near: DataFrame, support
     return scored.filter(F.col("disclosure") >= least)
 
 
+def term_hits(docs: DataFrame, base: DataFrame, disclosing: DataFrame) -> DataFrame:
+    """(row, start, end, disclosure) of every occurrence of a disclosing term, anywhere in a text that holds its entity."""
+    each = base.filter("size(base) > 0").select("row", F.explode("base").alias("s"))
+    held = each.select("row", entity_of(F.col("s")).alias("entity")).distinct()
+    wanted = held.join(disclosing, "entity").groupBy("row", "term").agg(F.max("disclosure").alias("disclosure"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = own.select(F.xxhash64("doc_id", "text").alias("row"), "text").join(wanted.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"])
+    words = texts.select("row", F.explode(located(F.col("text"), TERM)).alias("t")).select("row", F.lower("t.value").alias("term"), "t.start", "t.end")
+    free = ~F.exists("base", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))
+    spans = base.select("row", "base").dropDuplicates(["row"])
+    return words.join(wanted, ["row", "term"]).join(spans, "row").filter(free).select("row", "start", "end", "disclosure")
+
+
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, its key, base spans, and ``terms``: array<struct<start, kind, end, disclosure>> added by the method."""
     scratch = Scratch(docs.sparkSession, "pii")
     base = scratch.save(base_table(docs), "base")
     near = scratch.save(context_terms(base), "near")
     disclosing = scratch.save(disclosing_terms(scratch, docs, near), "disclosing")
-    hits = near.join(disclosing, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("disclosure").alias("disclosure"))
+    hits = term_hits(docs, base, disclosing).groupBy("row", "start", "end").agg(F.max("disclosure").alias("disclosure"))
     spans = hits.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end", "disclosure"))).alias("terms"))
     out = base.drop("contexts").join(spans, "row", "left")
     return out.withColumn("terms", F.coalesce("terms", F.expr("cast(array() as array<struct<start:int,kind:int,end:int,disclosure:double>>)")))

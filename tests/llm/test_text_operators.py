@@ -347,6 +347,16 @@ def test_disclosing_terms_and_sanitising(spark):
     assert found.count() == 0
 
 
+def test_disclosing_terms_far_from_the_entity(spark):
+    far = "plain filler words " * 20
+    named = [(k, f"{w} report by Zebulon about mail box joe@corp.com today {w} {far}so said Zebulon again") for k, w in enumerate(["alpha", "gamma", "delta", "omega", "sigma"])]
+    other = [(10 + k, f"nothing here {w} about mail report today {far}again said") for k, w in enumerate(["alpha", "gamma"] * 10)]
+    docs = spark.createDataFrame([*named, *other], "doc_id long, text string")
+    docs.write.parquet(path := pii.Scratch(spark, "t").path("docs"))
+    out = {r.doc_id: r.text for r in pii.sanitise(spark.read.parquet(path)).collect()}
+    assert all("Zebulon" not in out[k] and "said" in out[k] for k in range(5)) and all(out[k] == t for k, t in other)
+
+
 def test_pii_query_digests(spark):
     text = {r.doc_id: r.text for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
     for r in QUERIES["op6_pii"](spark, DIR).collect():
