@@ -25,8 +25,10 @@ from tallymark.llm.common import Scratch, table
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Code points of context on each side; contexts a pair of term and entity needs; least share of information; share from which a term is removed.
 CONTEXT, SUPPORT, DISCLOSURE, REMOVAL = 160, 3, 0.5, 0.9
-#: Words of the bit table that tells which terms are candidates, 64 bits each.
-FILTER_WORDS = 1 << 16
+#: Numbers that are summed at once when places in a text are counted.
+RUN = 64
+#: Base spans before and after one that can touch its context: four kinds, each without overlaps, of five code points or more.
+NEIGHBOURS = 4 * (CONTEXT // 5 + 1)
 # The patterns find the same matches as the plain ones, in linear time and constant stack: quantifiers are
 # possessive where nothing could be given back, and look-behinds keep a scan from starting inside a run
 # that has failed at its start (\G lets it start where the last match ended).
@@ -38,19 +40,34 @@ PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 TERM = r"(?<![\p{L}\p{N}])\p{L}{4,}(?![\p{L}\p{N}])"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often lambda functions in ``body`` use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def sums_before(xs: Column) -> Column:
+    """For each place of an array of numbers, the sum of those before it, by way of sums of ``RUN`` of them."""
+    total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
+    runs = lambda z: F.transform(F.sequence(F.lit(0), F.expr("0") + F.floor(F.size(z) / RUN).cast("int")), lambda k: total(F.slice(z, k * RUN + 1, F.lit(RUN))))
+    ahead = lambda r: F.transform(r, lambda _, k: total(F.slice(r, F.lit(1), k)))
+    place = lambda z, p: F.transform(z, lambda _, i: F.get(p, F.floor(i / RUN).cast("int")) + total(F.slice(z, i - i % RUN + 1, i % RUN)))
+    return let(xs, lambda z: let(let(runs(z), ahead), lambda p: place(z, p)))
+
+
 def located(text: Column, pattern: str) -> Column:
     """Matches of a pattern as array<struct<start, end, value>> in code points, the end exclusive.
 
     The pieces between the matches give their places.
     """
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    lengths = F.transform(values, lambda v: F.length(v))
-    before = lambda xs, n: F.aggregate(F.slice(xs, 1, n), F.lit(0), lambda a, x: a + x)
-    gap_lengths = F.transform(gaps, lambda g: F.length(g))
-    start = lambda i: before(gap_lengths, i + 1) + before(lengths, i)
-    spans = F.transform(values, lambda v, i: F.struct(start(i).alias("start"), (start(i) + F.length(v)).alias("end"), v.alias("value")))
-    return F.when(F.size(values) > 0, spans).otherwise(F.lit(None))
+    found = F.struct(values.alias("values"), F.transform(F.split(text, pattern, -1), lambda g: F.length(g)).alias("gaps"))
+
+    def placed(z: Column) -> Column:
+        moves = F.zip_with(F.slice(z["gaps"], F.lit(1), F.size(z["values"])), z["values"], lambda g, v: g + F.length(v))
+        starts = F.zip_with(sums_before(moves), F.slice(z["gaps"], F.lit(1), F.size(z["values"])), lambda a, g: a + g)
+        return F.zip_with(starts, z["values"], lambda at, v: F.struct(at.alias("start"), (at + F.length(v)).alias("end"), v.alias("value")))
+
+    return F.when(F.regexp_like(text, F.lit(pattern)), let(found, placed))
 
 
 def digits(x: Column) -> Column:
@@ -95,8 +112,13 @@ def base_table(docs: DataFrame) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     found = own.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text", base_spans(F.col("text")).alias("base"))
     low = lambda s: F.greatest(s["start"] - CONTEXT, F.lit(0))
-    context = F.transform("base", lambda s: F.struct(low(s).alias("at"), F.substring(F.col("text"), low(s) + 1, s["end"] - low(s) + CONTEXT).alias("context"), (s["end"] + CONTEXT >= F.length("text")).alias("last")))
-    return found.select("row", "doc_id", "base", F.when(F.size("base") > 0, context).alias("contexts"))
+
+    def touching(i: Column, s: Column) -> Column:
+        nearby = F.slice(F.col("base"), F.greatest(i - NEIGHBOURS + 1, F.lit(1)), F.lit(2 * NEIGHBOURS + 1))
+        return F.transform(F.filter(nearby, lambda x: (x["start"] < s["end"] + CONTEXT) & (x["end"] > s["start"] - CONTEXT)), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+
+    context = F.transform("base", lambda s, i: F.struct(low(s).alias("at"), F.substring(F.col("text"), low(s) + 1, s["end"] - low(s) + CONTEXT).alias("context"), (s["end"] + CONTEXT >= F.col("chars")).alias("last"), touching(i, s).alias("taken")))
+    return found.withColumn("chars", F.length("text")).select("row", "doc_id", "base", F.when(F.size("base") > 0, context).alias("contexts"))
 
 
 def entity_of(span: Column) -> Column:
@@ -105,22 +127,19 @@ def entity_of(span: Column) -> Column:
 
 def context_terms(base: DataFrame) -> DataFrame:
     """(row, entity, context, term, start, end) of the words around each base span, outside all base spans."""
-    each = base.filter("size(base) > 0").select("row", "base", F.explode(F.arrays_zip("base", "contexts")).alias("z"))
-    around = each.select("row", "base", entity_of(F.col("z.base")).alias("entity"), F.xxhash64("z.contexts.context").alias("context"), "z.contexts.at", "z.contexts.last", F.length("z.contexts.context").alias("size"), F.explode(located(F.col("z.contexts.context"), TERM)).alias("t"))
+    each = base.filter("size(base) > 0").select("row", F.explode(F.arrays_zip("base", "contexts")).alias("z"))
+    around = each.select("row", F.col("z.contexts.taken").alias("taken"), entity_of(F.col("z.base")).alias("entity"), F.xxhash64("z.contexts.context").alias("context"), "z.contexts.at", "z.contexts.last", F.length("z.contexts.context").alias("size"), F.explode(located(F.col("z.contexts.context"), TERM)).alias("t"))
     start, end = F.col("at") + F.col("t.start"), F.col("at") + F.col("t.end")
     whole = ((F.col("t.start") > 0) | (F.col("at") == 0)) & ((F.col("t.end") < F.col("size")) | F.col("last"))
-    free = ~F.exists("base", lambda s: (s["start"] < end) & (start < s["end"]))
+    free = ~F.exists("taken", lambda s: (s["start"] < end) & (start < s["end"]))
     return around.filter(whole & free).select("row", "entity", "context", F.lower("t.value").alias("term"), start.alias("start"), end.alias("end"))
 
 
 def term_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, documents) over all documents for the given terms; a bit table of bounded size drops most other words early."""
-    h = F.xxhash64("term")
-    bits = terms.groupBy(F.expr(f"cast(pmod(xxhash64(term), {FILTER_WORDS * 64}) div 64 as int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(xxhash64(term), 64) as int)))").alias("bits"))
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("term"))
-    there = words.join(F.broadcast(bits), F.pmod(h, F.lit(FILTER_WORDS * 64)).bitwiseAND(F.lit(-64)) == F.col("word").cast("long") * 64)
-    kept = there.filter(F.expr("(bits & shiftleft(1L, cast(pmod(xxhash64(term), 64) as int))) <> 0"))
-    return kept.groupBy("term").agg(F.count("*").alias("documents")).join(terms, "term", "left_semi")
+    """(term, documents) over all documents for the given terms; words are counted by their hashes, within tasks first."""
+    words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("word"))
+    counts = words.select(F.xxhash64("word").alias("h")).groupBy("h").agg(F.count("*").alias("documents"))
+    return terms.withColumn("h", F.xxhash64("term")).join(counts, "h").select("term", "documents")
 
 
 def disclosing_terms(scratch: Scratch, docs: DataFrame, near: DataFrame, support: int = SUPPORT, least: float = DISCLOSURE) -> DataFrame:
@@ -149,9 +168,12 @@ def term_hits(docs: DataFrame, base: DataFrame, disclosing: DataFrame) -> DataFr
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = own.select(F.xxhash64("doc_id", "text").alias("row"), "text").join(wanted.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"])
     words = texts.select("row", F.explode(located(F.col("text"), TERM)).alias("t")).select("row", F.lower("t.value").alias("term"), "t.start", "t.end")
-    free = ~F.exists("base", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))
-    spans = base.select("row", "base").dropDuplicates(["row"])
-    return words.join(wanted, ["row", "term"]).join(spans, "row").filter(free).select("row", "start", "end", "disclosure")
+    hits = words.join(wanted, ["row", "term"]).select("row", "start", "end", "disclosure")
+    blocks = lambda start, end: F.explode(F.sequence(F.floor(start / RUN), F.floor((end - 1) / RUN))).alias("block")
+    spans = base.join(wanted.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"]).select("row", F.explode("base").alias("s"))
+    spans = spans.select("row", F.col("s.start").alias("low"), F.col("s.end").alias("high"), blocks(F.col("s.start"), F.col("s.end")))
+    inside = hits.select("row", "start", "end", blocks(F.col("start"), F.col("end"))).join(spans, ["row", "block"]).filter((F.col("low") < F.col("end")) & (F.col("start") < F.col("high")))
+    return hits.join(inside.select("row", "start").distinct(), ["row", "start"], "left_anti")
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
