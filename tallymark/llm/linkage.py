@@ -19,6 +19,8 @@ from tallymark.llm.common import Scratch
 
 #: (side, side) -> whether two rows of a bucket, seen as columns of structs, can link at all.
 Feasible = Callable[[Column, Column], Column]
+#: Pairs (a, b) -> those that link.
+Verify = Callable[[DataFrame], DataFrame]
 
 
 def connected_components(scratch: Scratch, links: DataFrame) -> DataFrame:
@@ -45,33 +47,39 @@ def connected_components(scratch: Scratch, links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def linked_components(scratch: Scratch, buckets: DataFrame, feasible: Feasible, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Components (node, component) of the links among ``buckets`` (sig, node, rank, ...); single nodes are left out.
+def links_among(scratch: Scratch, buckets: DataFrame, feasible: Feasible, prepare: Callable[[DataFrame], Verify]) -> DataFrame:
+    """Edges (a, b) whose connected components are those of all links among ``buckets`` (sig, node, rank, ...).
 
-    ``buckets`` must hold shared signatures only. ``verify`` takes pairs (a, b) and returns those that link.
+    ``buckets`` must hold shared signatures only. ``prepare`` takes the nodes (node) that may be in a pair and
+    returns the function that takes pairs (a, b) and returns those that link. ``buckets`` is dropped on the way.
     """
     extra = [c for c in buckets.columns if c not in ("sig", "rank")]
     member = F.struct(*extra)
-    rows = buckets.select("sig", "rank", member.alias("x"))
-    lead = rows.groupBy("sig").agg(F.max_by("x", F.struct("rank", F.col("x.node"))).alias("y"))
+    rows = buckets.select("sig", "rank", member.alias("x")).repartition("sig")  # dealt once, for leaders and for members
+    lead = rows.groupBy("sig").agg(F.max_by("x", F.struct("rank", F.col("x.node"))).alias("y"), F.count("*").alias("n"))
     met = rows.join(lead, "sig").filter((F.col("x.node") != F.col("y.node")) & feasible(F.col("x"), F.col("y")))
     first = scratch.save(ordered(met).distinct(), "star-pairs")
+    wide = buckets.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 2").select("sig")  # a bucket of two is done with its star
+    nodes = first.select(F.explode(F.array("a", "b")).alias("node")).unionByName(buckets.join(wide, "sig", "left_semi").select("node"))
+    verify = prepare(nodes.distinct())
     links = scratch.save(verify(first), "star-links")
     part = scratch.save(connected_components(scratch, links), "star-components")
 
-    named = rows.join(part, F.col("x.node") == part.node, "left").select("sig", "rank", "x", F.coalesce("component", F.col("x.node")).alias("c"))
-    named = scratch.save(named, "named")
-    mixed = named.groupBy("sig").agg(F.max_by("c", F.struct("rank", F.col("x.node"))).alias("main"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("sig", "main")
-    apart = scratch.save(named.join(mixed, "sig").select("sig", "x", "c", "main"), "apart")
+    named = buckets.select("sig", "rank", "node").join(wide, "sig", "left_semi").join(part, "node", "left").select("sig", "rank", "node", F.coalesce("component", "node").alias("c"))
+    mixed = named.groupBy("sig").agg(F.max_by("c", F.struct("rank", "node")).alias("main"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("sig", "main")
+    mixed = scratch.save(mixed, "mixed")
+    apart = buckets.select("sig", member.alias("x")).join(mixed, "sig").join(part, F.col("x.node") == part.node, "left")
+    apart = scratch.save(apart.select("sig", "x", F.coalesce("component", F.col("x.node")).alias("c"), "main"), "apart")
+    scratch.drop(buckets, mixed)
+    scratch.release()
     one = apart.filter("c <> main").select("sig", "x", F.col("c").alias("cx"), "main")
     two = apart.select(F.col("sig").alias("sig2"), F.col("x").alias("y"), F.col("c").alias("cy"))
     once = (F.col("cy") == F.col("main")) | (F.col("x.node") < F.col("y.node"))
     rest = one.join(two, (F.col("sig") == F.col("sig2")) & (F.col("cx") != F.col("cy")) & once & feasible(F.col("x"), F.col("y")))
     rest = scratch.save(ordered(rest).distinct().join(first, ["a", "b"], "left_anti"), "rest-pairs")
+    scratch.drop(apart)
     more = scratch.save(verify(rest), "rest-links")
-    out = scratch.save(connected_components(scratch, links.unionByName(more)), "components")
-    scratch.drop(first, links, part, named, apart, rest, more)
-    return out
+    return scratch.save(part.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "links")
 
 
 def ordered(pairs: DataFrame) -> DataFrame:
@@ -88,10 +96,11 @@ def shared_only(scratch: Scratch, buckets: DataFrame) -> DataFrame:
     return scratch.save(buckets.join(shared.hint("shuffle_hash"), "sig", "left_semi"), "buckets")
 
 
-def gather_cells(df: DataFrame, fill: Callable[[np.ndarray, pa.RecordBatch], None], cells: int, dtype: str, chunks: int = 64) -> np.ndarray:
-    """A table of ``cells`` numbers summed over all rows; tasks and the driver hold one table each, whatever the input.
+def gather_cells(df: DataFrame, fill: Callable[[np.ndarray, pa.RecordBatch], None], cells: int, dtype: str, merge: np.ufunc = np.add, chunks: int = 64) -> np.ndarray:
+    """A table of ``cells`` numbers merged over all rows; tasks and the driver hold one table each, whatever the input.
 
-    ``fill`` adds a batch to a task's table. Tables travel in chunks, which are summed as they stream by.
+    ``fill`` adds a batch to a task's table. Tables travel in chunks, which are merged as they stream by. Marks
+    need ``np.bitwise_or`` as ``merge``, for a sum of narrow numbers wraps; counts need 64 bits.
     """
     size = cells // chunks
 
@@ -99,6 +108,10 @@ def gather_cells(df: DataFrame, fill: Callable[[np.ndarray, pa.RecordBatch], Non
         used = [k for k in range(chunks) if table[k * size : (k + 1) * size].any()]
         return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([table[k * size : (k + 1) * size].tobytes() for k in used], pa.binary())], ["chunk", "cells"])
 
+    def fold(table: np.ndarray, chunk: int, own: bytes) -> None:
+        part = table[chunk * size : (chunk + 1) * size]
+        merge(part, np.frombuffer(own, dtype), out=part)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(cells, dtype)
         for batch in batches:
@@ -109,10 +122,10 @@ def gather_cells(df: DataFrame, fill: Callable[[np.ndarray, pa.RecordBatch], Non
         table = np.zeros(cells, dtype)
         for batch in batches:
             for k, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                table[k * size : (k + 1) * size] += np.frombuffer(own, dtype)
+                fold(table, k, own)
         yield chunk_rows(table)
 
     out = np.zeros(cells, dtype)
-    for row in df.mapInArrow(count, "chunk int, cells binary").repartition("chunk").mapInArrow(add, "chunk int, cells binary").collect():
-        out[row.chunk * size : (row.chunk + 1) * size] += np.frombuffer(row.cells, dtype)
+    for row in df.mapInArrow(count, "chunk int, cells binary").repartition("chunk").mapInArrow(add, "chunk int, cells binary").toLocalIterator():
+        fold(out, row.chunk, row.cells)
     return out

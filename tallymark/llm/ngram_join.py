@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.llm.common import Scratch, binaries, bounded_batches, map_batches, table, words_of
-from tallymark.llm.linkage import gather_cells, linked_components, shared_only
+from tallymark.llm.linkage import Verify, connected_components, gather_cells, links_among, shared_only
 
 CELLS_LOG2 = 20
 SIZES = 64
@@ -143,7 +143,7 @@ def text_sets(docs: DataFrame, n: int, limit: Threshold) -> tuple[DataFrame, int
             np.add.at(counts, (keys >> np.uint64(64 - CELLS_LOG2)).astype(np.int64), 1)
 
     bounded_batches(docs.sparkSession)
-    counts = gather_cells(own, fill, cells + 64 * SIZES, "<u4")
+    counts = gather_cells(own, fill, cells + 64 * SIZES, "<u8")
     sizes, counts = counts[cells : cells + SIZES].astype(float), counts[:cells]
     mean = max(1e-9, counts.mean())
     boundary = choose_boundary(sizes, max(0.0, float((counts.astype(float) ** 2).sum() / max(1, counts.sum()) / mean - 1)), limit)
@@ -177,19 +177,22 @@ def join_ngrams(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> D
     whole = [F.first(c).alias(c) for c in ("n", "common", "sig", "slack", "lone")]
     reps = scratch.save(made.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *whole), "reps")
     scratch.drop(made)
-    entries = reps.select(F.col("k1").alias("node"), "n", (F.col("copies") * 1e9 + F.col("common")).alias("rank"), F.explode(F.arrays_zip("sig", "slack", "lone")).alias("e"))
-    buckets = shared_only(scratch, entries.select("e.sig", "node", "rank", "n", "e.slack", "e.lone"))
     scratch.release()
-    candidates = candidate_sets(scratch, docs, buckets.select("node").distinct(), n)
-
+    entries = reps.select(F.col("k1").alias("node"), F.explode(F.arrays_zip("sig", "slack", "lone")).alias("e"))
+    place = F.shiftleft(F.col("e.slack"), 1) + F.col("e.lone").cast("int")
+    shared = shared_only(scratch, entries.select("e.sig", "node", place.alias("place")))
+    whole = reps.select(F.col("k1").alias("node"), "n", (F.col("copies") * 1e9 + F.col("common")).alias("rank"))
+    buckets = scratch.save(shared.join(whole, "node").select("sig", "node", "rank", "n", F.shiftright("place", 1).alias("slack"), (F.col("place") % 2 == 1).alias("lone")), "members")
+    scratch.drop(shared)
     scratch.release()
 
     def feasible(x: Column, y: Column) -> Column:
         need = limit.overlap(x["n"], y["n"])
         return ~(x["lone"] & y["lone"]) & (F.least(x["n"] - x["slack"], y["n"] - y["slack"]) >= need)
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        a, b = (candidates.select(F.col("node").alias(c), F.col("keys").alias(f"keys_{c}")) for c in "ab")
+    def prepare(nodes: DataFrame) -> Verify:
+        sets_of = candidate_sets(scratch, docs, scratch.save(nodes, "nodes"), n)
+        a, b = (sets_of.select(F.col("node").alias(c), F.col("keys").alias(f"keys_{c}")) for c in "ab")
 
         def link(batch: pa.RecordBatch) -> pa.RecordBatch:
             keep = []
@@ -198,10 +201,10 @@ def join_ngrams(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> D
                 keep.append(den * both >= num * ((len(x) + len(y)) // 8 - both))
             return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        return map_batches(pairs.join(a, "a").join(b, "b").select("a", "b", "keys_a", "keys_b"), link, "a long, b long")
+        return lambda pairs: map_batches(pairs.join(a, "a").join(b, "b").select("a", "b", "keys_a", "keys_b"), link, "a long, b long")
 
-    part = linked_components(scratch, buckets, feasible, verify)
-    scratch.drop(buckets, candidates)
+    links = links_among(scratch, buckets, feasible, prepare)
+    part = scratch.save(connected_components(scratch, links), "components")
     owned = reps.join(part, reps.k1 == part.node, "left").select("k1", "k2", "rep", F.coalesce("component", "k1").alias("c"))
     owned = scratch.save(owned, "owned")
     least = owned.groupBy("c").agg(F.min("rep").alias("component_id"))
@@ -213,7 +216,7 @@ def join_ngrams(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> D
 def candidate_sets(scratch: Scratch, docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     """(node, keys) of the sets in ``nodes``, made again from the texts; a bounded bit table keeps most others out."""
     slots = 1 << FILTER_LOG2
-    bits = gather_cells(nodes, lambda t, b: t.__setitem__(b.column(0).to_numpy() & (slots - 1), 1), slots, "u1")
+    bits = gather_cells(nodes, lambda t, b: t.__setitem__(b.column(0).to_numpy() & (slots - 1), 1), slots, "u1", np.bitwise_or)
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits != 0))
 
     def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
