@@ -47,11 +47,11 @@ def connected_components(scratch: Scratch, links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def links_among(scratch: Scratch, buckets: DataFrame, feasible: Feasible, prepare: Callable[[DataFrame], Verify]) -> DataFrame:
+def links_among(scratch: Scratch, buckets: DataFrame, feasible: Feasible, verify: Verify) -> DataFrame:
     """Edges (a, b) whose connected components are those of all links among ``buckets`` (sig, node, rank, ...).
 
-    ``buckets`` must hold shared signatures only. ``prepare`` takes the nodes (node) that may be in a pair and
-    returns the function that takes pairs (a, b) and returns those that link. ``buckets`` is dropped on the way.
+    ``buckets`` must hold shared signatures only and is dropped on the way. ``verify`` takes pairs (a, b) and
+    returns those that link; it gets whatever sets or texts these pairs need, so that no others are moved.
     """
     extra = [c for c in buckets.columns if c not in ("sig", "rank")]
     member = F.struct(*extra)
@@ -60,8 +60,6 @@ def links_among(scratch: Scratch, buckets: DataFrame, feasible: Feasible, prepar
     met = rows.join(lead, "sig").filter((F.col("x.node") != F.col("y.node")) & feasible(F.col("x"), F.col("y")))
     first = scratch.save(ordered(met).distinct(), "star-pairs")
     wide = buckets.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 2").select("sig")  # a bucket of two is done with its star
-    nodes = first.select(F.explode(F.array("a", "b")).alias("node")).unionByName(buckets.join(wide, "sig", "left_semi").select("node"))
-    verify = prepare(nodes.distinct())
     links = scratch.save(verify(first), "star-links")
     part = scratch.save(connected_components(scratch, links), "star-components")
 
@@ -78,8 +76,13 @@ def links_among(scratch: Scratch, buckets: DataFrame, feasible: Feasible, prepar
     rest = one.join(two, (F.col("sig") == F.col("sig2")) & (F.col("cx") != F.col("cy")) & once & feasible(F.col("x"), F.col("y")))
     rest = scratch.save(ordered(rest).distinct().join(first, ["a", "b"], "left_anti"), "rest-pairs")
     scratch.drop(apart)
-    more = scratch.save(verify(rest), "rest-links")
-    return scratch.save(part.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "links")
+    edges = part.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return edges if rest.isEmpty() else scratch.save(edges.unionByName(verify(rest)), "links")
+
+
+def nodes_of(pairs: DataFrame) -> DataFrame:
+    """(node) of the pairs (a, b), each once."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
 
 def ordered(pairs: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.llm.common import Scratch, binaries, bounded_batches, map_batches, table, words_of
-from tallymark.llm.linkage import Verify, connected_components, gather_cells, links_among, shared_only
+from tallymark.llm.linkage import connected_components, gather_cells, links_among, nodes_of, shared_only
 
 CELLS_LOG2 = 20
 SIZES = 64
@@ -190,8 +190,8 @@ def join_ngrams(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> D
         need = limit.overlap(x["n"], y["n"])
         return ~(x["lone"] & y["lone"]) & (F.least(x["n"] - x["slack"], y["n"] - y["slack"]) >= need)
 
-    def prepare(nodes: DataFrame) -> Verify:
-        sets_of = candidate_sets(scratch, docs, scratch.save(nodes, "nodes"), n)
+    def verify(pairs: DataFrame) -> DataFrame:
+        sets_of = candidate_sets(scratch, docs, scratch.save(nodes_of(pairs), "nodes"), n)
         a, b = (sets_of.select(F.col("node").alias(c), F.col("keys").alias(f"keys_{c}")) for c in "ab")
 
         def link(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -201,9 +201,9 @@ def join_ngrams(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> D
                 keep.append(den * both >= num * ((len(x) + len(y)) // 8 - both))
             return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        return lambda pairs: map_batches(pairs.join(a, "a").join(b, "b").select("a", "b", "keys_a", "keys_b"), link, "a long, b long")
+        return map_batches(pairs.join(a, "a").join(b, "b").select("a", "b", "keys_a", "keys_b"), link, "a long, b long")
 
-    links = links_among(scratch, buckets, feasible, prepare)
+    links = links_among(scratch, buckets, feasible, verify)
     part = scratch.save(connected_components(scratch, links), "components")
     owned = reps.join(part, reps.k1 == part.node, "left").select("k1", "k2", "rep", F.coalesce("component", "k1").alias("c"))
     owned = scratch.save(owned, "owned")

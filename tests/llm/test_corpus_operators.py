@@ -242,3 +242,14 @@ def test_pipeline(spark):
     pieces = corpus_pipeline.STAGES[-1][1](spark, kept, DIR)
     total = pieces.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t"))
     assert total.count() == kept.count() > 50 and total.filter("n <> t").count() == 0
+
+
+def test_marks_of_many_tasks_do_not_wrap(spark):
+    import numpy as np
+
+    def fill(table, batch):
+        table[5] = 1
+
+    df = spark.range(0, 256, 1, 256).select("id")
+    assert linkage.gather_cells(df, fill, 64, "u1", np.bitwise_or)[5] == 1
+    assert linkage.gather_cells(df, fill, 64, "<u8")[5] == 256
