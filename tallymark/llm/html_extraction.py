@@ -17,6 +17,8 @@ import html as entities
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,12 +26,11 @@ from pyspark.sql import functions as F
 
 from tallymark.llm.common import map_batches, table
 
-#: One match per comment, raw-text element, tag or declaration; what lies between is text.
-MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|template|noscript|textarea|svg|iframe|title)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>",
-    re.I | re.S,
-)
+#: How a comment, a tag or a declaration begins.
+HEAD = re.compile(r"<(?:(?P<comment>!--)|(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)|[!?])", re.I)
+QUOTE_OR_END = re.compile(r"[\"'>]")
+#: Elements whose content is not markup, with what closes them.
+RAW = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in "script style template noscript textarea svg iframe title".split()}
 NAMED = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -58,6 +59,81 @@ LABELLED_PAGES = (
 )
 
 
+class Ends:
+    """Where tags end. Every quote and angle bracket is looked at once, so many unclosed tags take linear time."""
+
+    def __init__(self, source: str):
+        self.source, self.known, self.last = source, {}, None
+        self.low, self.found = 1, -1  # from ``low`` on, the next quote or bracket is at ``found``
+
+    def special(self, at: int) -> int:
+        if not self.low <= at <= self.found:
+            m = QUOTE_OR_END.search(self.source, at)
+            self.low, self.found = at, m.start() if m else len(self.source)
+        return self.found
+
+    def plain(self, at: int) -> int:
+        """The place behind the next closing bracket; -1 if there is none."""
+        if self.last is None:
+            self.last = self.source.rfind(">")
+        return self.source.find(">", at) + 1 if at <= self.last else -1
+
+    def of(self, at: int) -> int:
+        """The place behind the tag whose attributes begin at ``at``; -1 if it is never closed."""
+        passed, end = [], -1
+        while (p := self.special(at)) < len(self.source):
+            if p in self.known:
+                end = self.known[p]
+                break
+            passed.append(p)
+            if self.source[p] == ">":
+                end = p + 1
+                break
+            if (q := self.source.find(self.source[p], p + 1)) < 0:
+                break
+            at = q + 1
+        self.known.update(dict.fromkeys(passed, end))
+        return end
+
+
+class Markup(NamedTuple):
+    """One comment, raw-text element, tag or declaration."""
+
+    start: int
+    end: int
+    kind: str
+    tag: str = ""
+    closing: bool = False
+    attrs: str = ""
+
+
+def markup(source: str) -> Iterator[Markup]:
+    """The markup of a page in order; what lies between is text, and so is a bracket that opens nothing."""
+    ends, at, size = Ends(source), 0, len(source)
+    while (at := source.find("<", at)) >= 0:
+        m = HEAD.match(source, at)
+        if m is None:
+            at += 1
+            continue
+        tag = (m["tag"] or "").lower()
+        if m["comment"]:
+            kind, end = "comment", source.find("-->", m.end())
+            end = size if end < 0 else end + 3
+        elif not tag:
+            kind, end = "other", ends.plain(m.end())
+        else:
+            kind, end = "tag", ends.of(m.end())
+        if end < 0:
+            at += 1
+            continue
+        if tag in RAW and not m["end"]:
+            close = RAW[tag].search(source, end)
+            yield Markup(at, end := close.end() if close else size, "raw")
+        else:
+            yield Markup(at, end, kind, tag, bool(m["end"]), source[m.end() : end - 1] if tag else "")
+        at = end
+
+
 class Page:
     """The tokens of one page: ``kind`` is a tag feature or a box feature of words, ``text`` its words."""
 
@@ -69,27 +145,26 @@ class Page:
         self.pieces: list[tuple[str, bool]] = []  # text of it; whether a block ends before it
         stack: list[tuple[str, str]] = []  # open boxes: tag and kind
         at = 0
-        for m in MARKUP.finditer(source):
-            if m.start() > at:
-                self.words(source[at : m.start()], stack)
-            at = m.end()
-            if (tag := m["tag"]) is None:
-                self.kinds.append("tag:raw" if m["raw"] else "tag:other")
+        for m in markup(source):
+            if m.start > at:
+                self.words(source[at : m.start], stack)
+            at, tag = m.end, m.tag
+            if not tag:
+                self.kinds.append("tag:raw" if m.kind == "raw" else "tag:other")
                 self.counts.append(0)
-                self.pieces.append(("", bool(m["raw"]) or not m[0].startswith("<!--")))
+                self.pieces.append(("", m.kind != "comment"))
                 continue
-            tag = tag.lower()
             self.kinds.append(f"tag:{tag if tag in BOXES or tag in ('p', 'a', 'li', 'h1', 'h2', 'div', 'br') else 'other'}")
             self.counts.append(0)
             self.pieces.append(("", tag not in INLINE))
-            if m["end"]:
+            if m.closing:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == tag:
                         del stack[k:]
                         break
-            elif tag not in VOID and not m["attrs"].endswith("/"):
+            elif tag not in VOID and not m.attrs.endswith("/"):
                 if tag in BOXES or tag in CARRIERS:
-                    stack.append((tag, box_kind(tag, m["attrs"])))
+                    stack.append((tag, box_kind(tag, m.attrs)))
         if at < len(source):
             self.words(source[at:], stack)
 

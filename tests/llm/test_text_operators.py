@@ -364,3 +364,27 @@ def test_pii_query_digests(spark):
         joined = ",".join(f"{PATTERNS[k][0]}:{a}:{b}" for a, k, b in base)
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
         assert set(filter(None, joined.split(","))) <= set(r.spans.split(",")) and r.n_email == sum(k == 0 for _, k, _ in base)
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a "', "<!x ", "<a '\" ", "<"])
+def test_unclosed_markup_takes_linear_time(piece):
+    import time
+
+    from tallymark.llm.html_extraction import Page
+
+    began = time.perf_counter()
+    page = Page(piece * (400_000 // len(piece)))
+    assert time.perf_counter() - began < 20 and sum(page.counts) > 0  # quadratic time would take hours
+
+
+def test_html_queries_on_odd_tables(spark):
+    from tallymark.llm.html_extraction import extract_main_text as extract_text
+
+    html = "<nav>Home</nav><article><p>The river rose by a metre in the night &amp; fell again.</p></article>"
+    rows = [(1, "u", html, "x"), (1, "u", html, "x"), (None, None, None, None), (2, "v", "", "y")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    out = extract_text(df)
+    got = sorted((r.page_id or 0, r.text, r.n_chars) for r in out.collect())
+    text = "The river rose by a metre in the night & fell again."
+    assert got == [(0, "", 0), (1, text, len(text)), (1, text, len(text)), (2, "", 0)]
+    assert extract_text(df.limit(0)).count() == 0
