@@ -16,7 +16,6 @@ score is the winner's posterior under equal priors; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +31,6 @@ TRAIN_BYTES, TRAIN_TEXT_BYTES = 800_000, 1 << 16
 PAD = b"\n" * ORDER
 #: Bytes scored at once.
 BLOCK = 1 << 20
-LETTER = re.compile(r"[^\W\d_]")
 SLOTS = 20
 
 
@@ -122,7 +120,7 @@ class Trees:
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        asked = [k for k, t in enumerate(texts) if t and self.langs and LETTER.search(t)]
+        asked = [k for k, t in enumerate(texts) if t and self.langs and any(map(str.isalpha, t))]
         names, scores = ["und"] * len(texts), [0.0] * len(texts)
         if asked:
             bits = self.lengths([texts[k] for k in asked])

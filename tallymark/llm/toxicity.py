@@ -29,6 +29,8 @@ from tallymark.llm.common import in_fold, map_batches, table
 
 TRAIN_DOCS, TRAIN_TEXT_BYTES = 8_000, 1 << 16
 #: Least likelihood ratio of a word and of a stem; lengths of stems; words that a stem must have.
+#: Contexts of one word that training counts on each side at most: a bound of the classifier's sample, which frequent words reach.
+CONTEXTS = 5000
 LEAST_RATIO, STEM_RATIO, STEM_LENGTHS, STEM_WORDS = 30.0, 45.0, range(4, 8), 8
 #: Words before and after a match that make its context.
 WINDOW = 6
@@ -183,7 +185,7 @@ def learn_lexicon(texts: list[str], toxic: list[bool]) -> Lexicon:
     for text, bad in zip(texts, toxic, strict=True):
         words = [t.strip(MARKS) for t in text.lower().split()]
         for k, w in enumerate(words):
-            if len(w) >= 3 and len(own := contexts[bad][w]) < 5000:
+            if len(w) >= 3 and len(own := contexts[bad][w]) < CONTEXTS:
                 own.add(hash((words[k - 1] if k else "", words[k + 1] if k + 1 < len(words) else "")))
     sizes = [Counter({w: len(c) for w, c in x.items()}) for x in contexts]
     del contexts

@@ -388,3 +388,17 @@ def test_html_queries_on_odd_tables(spark):
     text = "The river rose by a metre in the night & fell again."
     assert got == [(0, "", 0), (1, text, len(text)), (1, text, len(text)), (2, "", 0)]
     assert extract_text(df.limit(0)).count() == 0
+
+
+def test_texts_without_letters_have_no_language():
+    trees = lid.Trees({"en": ["the river and the hill"], "de": ["der fluss und der berg"]})
+    assert trees.predict(["² ½ 12 _", "der berg"])[0][0] == "und"
+
+
+def test_toxicity_query_on_odd_tables(spark, tmp_path):
+    docs = spark.createDataFrame([(k, "you are a vile scum person" if k % 2 else "what a lovely calm day", "en", "s", 0.5) for k in range(60)] + [(1, "you are a vile scum person", "en", "s", 0.5), (None, None, None, None, None), (900, "", "en", "s", 0.1)], "doc_id long, text string, lang string, source string, score double")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1, k % 2) for k in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = QUERIES["op3_toxicity"](spark, str(tmp_path)).collect()
+    assert len(rows) == 63 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+    assert len({r.score for r in rows if r.doc_id == 1}) == 1
