@@ -175,7 +175,7 @@ def judged_sizes(spark: SparkSession, d: str) -> DataFrame:
     return verify_dimension(quantities(spark, d).withColumns(spec))
 
 
-@query(f"WITH {QUANTITIES} SELECT {DIMENSIONAL} AS trust, count(*) AS n, count(*) FILTER ({DIMENSIONAL} = 0) AS n_hard FROM q GROUP BY 1")
+@query(f"WITH {QUANTITIES} SELECT ({DIMENSIONAL})::DOUBLE AS trust, count(*) AS n, count(*) FILTER ({DIMENSIONAL} = 0) AS n_hard FROM q GROUP BY 1")
 def dimensional_decisions(spark: SparkSession, d: str) -> DataFrame:
     s = F.col("dimensional")
     return judged_sizes(spark, d).groupBy(s["trust"].alias("trust")).agg(F.count("*").alias("n"), F.count_if(s["applicable"] & (s["trust"] == 0)).alias("n_hard"))
