@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.functions.binomial import clopper_pearson_upper, needed
 from tallymark.operators.score import prefix_counts
+from tallymark.sources.catalog import Category, fingerprint
 
 GRID, MIN_ACCEPTED = 50, 30
 DIAL_STOPS = (0.005, 0.01, 0.02, 0.03, 0.05, 0.07, 0.10, 0.15)
@@ -83,6 +85,35 @@ def certificate(dial: DataFrame) -> DataFrame:
     )
 
 
+def with_provenance(cert: DataFrame, seed: int, verifiers: Iterable[str], categories: Iterable[Category], proposer: str, version: str = "0.1.0") -> DataFrame:
+    """Certificates with what they rest on: run id, time, proposer, verifier versions and schema fingerprints."""
+    versions = F.create_map(*[F.lit(x) for v in verifiers for x in (v, version)]).cast("map<string, string>")
+    return cert.withColumns({
+        "run_id": F.lit(f"run-{seed}-{uuid.uuid4().hex[:8]}"),
+        "issued_at": F.current_timestamp(),
+        "proposer_model": F.lit(proposer),
+        "verifier_versions": versions,
+        "schema_fingerprint": F.lit(",".join(sorted(map(fingerprint, categories)))),
+    })
+
+
+def dial_json(dial: DataFrame) -> DataFrame:
+    """(alpha, json): a setting of the dial for a page. A refusal has null for threshold and bound, not zero."""
+    # The names that pages read.
+    names = {
+        "alpha": "alpha", "feasible": "feasible", "reason": "reason", "threshold": "threshold", "automation_rate": "automationRate", "n_auto_published": "nAutoPublished", "n_review": "nReview",
+        "n_total": "nTotal", "realized_error": "realizedError", "error_upper_bound": "certifiedBound", "baseline_error": "baselineError",
+    }
+    shown = {**{c: F.col(c) for c in names}, **{c: F.when(F.col("feasible"), F.col(c)) for c in ("threshold", "error_upper_bound")}}
+    return dial.select("alpha", F.to_json(F.struct(*[shown[c].alias(name) for c, name in names.items()]), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def certificate_summary() -> Column:
+    """One line about a row of ``certificate``."""
+    percent = lambda c: F.col(c) * 100
+    return F.format_string("auto-published %d of %d (%.1f%%) at a certified error of at most %.1f%% with %.0f%% confidence", "n_auto_published", "n_total", percent("automation_rate"), percent("alpha"), (1 - F.col("delta")) * 100)
+
+
 def review_queue(scored: DataFrame, threshold: float, limit: int = 25, order: str = "ordinal") -> DataFrame:
     """The values most in doubt first, ties by order. A missing or zero score counts as 1. Limit is 1 to 200."""
     if not 1 <= limit <= 200:

@@ -15,6 +15,7 @@ from tallymark.functions.similarity import pairwise_similarity
 from tallymark.operators.certify import DIAL_STOPS, certificate, decision, realised_error, review_queue, risk_coverage, select_thresholds
 from tallymark.operators.extract import extract_rules, ground, merge_evidence, merge_values, string_properties
 from tallymark.operators.faults import fault_mix, inject_faults
+from tallymark.operators.model import answer_counts, read_answers
 from tallymark.operators.score import applicable_trusts, auroc, features, fit_scorer, heuristic_score, prefix_counts, values_agree
 from tallymark.operators.verify import any_hard, ensemble_index, nominal_coherence, nominal_profile, numeric_coherence, numeric_profile, others, spread_report, verify_constraints, verify_dimension, verify_ensemble
 from tallymark.plans.session import three_way_split
@@ -545,3 +546,19 @@ def schema_fingerprints(spark: SparkSession, d: str) -> DataFrame:
 def synthetic_extraction(spark: SparkSession, d: str) -> DataFrame:
     """Rule extraction over the synthetic catalog: values found a category and attribute."""
     return extract_rules(generate_catalog(spark, 500)).groupBy("category_id", "attribute").agg(F.count("*").alias("n"))
+
+
+@query("""WITH g AS (SELECT p_partkey % 6 AS form, concat('BALL VLV ', p_name, ' ', p_type) AS d, json_object('body_material', split_part(p_name, ' ', 1), 'seat_material', p_brand, 'bore', p_size, 'nope', 'x')::VARCHAR AS good FROM part),
+a AS (SELECT form, d, coalesce(nullif(trim(CASE form WHEN 0 THEN good WHEN 1 THEN ' ' WHEN 2 THEN '' WHEN 3 THEN 'no json' WHEN 4 THEN '[1]' END), ''), nullif(trim(CASE form WHEN 1 THEN good WHEN 2 THEN ' ' END), '')) AS payload FROM g),
+o AS (SELECT form, d, payload, CASE WHEN json_valid(payload) AND json_type(payload) = 'OBJECT' THEN payload END AS object FROM a),
+v AS (SELECT form, payload, object, list_filter([CASE WHEN json_type(object, '$.body_material') = 'VARCHAR' THEN object ->> '$.body_material' END, CASE WHEN json_type(object, '$.seat_material') = 'VARCHAR' THEN object ->> '$.seat_material' END, CASE WHEN json_type(object, '$.bore') = 'VARCHAR' THEN object ->> '$.bore' END], lambda x: x IS NOT NULL) AS said, lower(d) AS low FROM o)
+SELECT form, count(*) AS calls, count(*) FILTER (form = 5) AS failures, count(*) FILTER (form <> 5 AND payload IS NULL) AS empty_responses, count(*) FILTER (payload IS NOT NULL AND object IS NULL) AS parse_failures,
+sum(len(said))::BIGINT AS values_proposed, sum(len(list_filter(said, lambda x: NOT contains(low, lower(x)))))::BIGINT AS values_ungrounded, sum(0.25)::DOUBLE AS seconds FROM v GROUP BY form""")
+def model_counters(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of six forms, one a part in turn, read and counted."""
+    good = F.to_json(F.struct(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("body_material"), F.col("p_brand").alias("seat_material"), F.col("p_size").alias("bore"), F.lit("x").alias("nope")))
+    form = F.col("p_partkey") % 6
+    content = F.when(form == 0, good).when(form == 1, " ").when(form == 2, "").when(form == 3, "no json").when(form == 4, "[1]")
+    thinking = F.when(form == 1, good).when(form == 2, " ")
+    answers = table(spark, d, "part").select(text("p_partkey").alias("sku"), F.lit("valve.ball").alias("category_id"), F.concat(F.lit("BALL VLV "), "p_name", F.lit(" "), "p_type").alias("description"), content.alias("content"), thinking.alias("thinking"), (form == 5).alias("failed"), F.lit(0.25).alias("seconds"), form.alias("form"))
+    return answer_counts(read_answers(answers), "form")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,13 +12,13 @@ from pyspark.sql import Window as W
 
 from tallymark.functions.canonical import normalise_values
 from tallymark.functions.quantities import with_quantity
-from tallymark.operators.certify import DIAL_STOPS, certificate, review_queue, risk_coverage, select_thresholds
+from tallymark.operators.certify import DIAL_STOPS, certificate, review_queue, risk_coverage, select_thresholds, with_provenance
 from tallymark.operators.extract import extract_rules
 from tallymark.operators.faults import inject_faults
 from tallymark.operators.score import LearnedScorer, auroc, fit_scorer, values_agree
-from tallymark.operators.verify import any_hard, nominal_profile, numeric_profile, verify_coherence, verify_constraints, verify_dimension, verify_ensemble
+from tallymark.operators.verify import abstain, any_hard, nominal_profile, numeric_profile, verify_coherence, verify_constraints, verify_dimension, verify_ensemble
 from tallymark.plans.staging import Stages
-from tallymark.sources.catalog import shipped, spec_table
+from tallymark.sources.catalog import Category, shipped, spec_table
 from tallymark.sources.synthetic import answer_key, generate_catalog
 
 
@@ -34,14 +35,18 @@ def three_way_split(df: DataFrame, order: list[str]) -> DataFrame:
     return out.withColumn("split", F.pmod("ordinal", F.lit(3))).drop("__p", "__i", "__b")
 
 
-def assay(values: DataFrame, verifiers: Sequence[str] = ("dimensional", "constraint"), samples: DataFrame | None = None) -> DataFrame:
-    """One signal column a verifier. Values need their spec columns."""
+def assay(values: DataFrame, verifiers: Sequence[str] = ("dimensional", "constraint"), samples: DataFrame | None = None, categories: dict[str, Category] | None = None, further: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
+    """One signal column a verifier. Values need their spec columns; constraints abstain on categories not among
+    ``categories``. ``further`` are verifiers of one's own: each adds the signal column of its name.
+    """
     df = values
     if "dimensional" in verifiers:
         df = verify_dimension(df)
     if "constraint" in verifiers:
-        parts = [verify_constraints(df.filter(F.col("category_id") == c.category_id), c) for c in shipped().values()]
-        df = parts[0].unionByName(parts[1]).unionByName(parts[2])
+        known = categories or shipped()
+        parts = [verify_constraints(df.filter(F.col("category_id") == k), c) for k, c in known.items()]
+        others = df.filter(~F.coalesce(F.col("category_id").isin(*known), F.lit(False))).withColumn("constraint", abstain("no schema"))
+        df = reduce(DataFrame.unionByName, [*parts, others])
     if "coherence" in verifiers:
         keys = ["category_id", "attribute"]
         numbers = with_quantity(values.filter(F.col("kind").isin("quantity", "range")), "raw", "q").select(*keys, F.col("q.magnitude").alias("x"))
@@ -49,7 +54,7 @@ def assay(values: DataFrame, verifiers: Sequence[str] = ("dimensional", "constra
         df = verify_coherence(df, numeric_profile(numbers, keys), nominal_profile(terms, keys))
     if "ensemble" in verifiers and samples is not None:
         df = verify_ensemble(df, samples)
-    return df
+    return reduce(lambda out, verify: verify(out), (further or {}).values(), df)
 
 
 @dataclass
@@ -59,6 +64,8 @@ class Session:
     scored: DataFrame
     scorer: LearnedScorer
     delta: float = 0.05
+    verifiers: tuple[str, ...] = ()
+    seed: int = 0
 
     def part(self, k: int) -> DataFrame:
         return self.scored.filter(F.col("split") == k)
@@ -67,7 +74,7 @@ class Session:
         return risk_coverage(self.part(1), self.part(2), alphas, self.delta)
 
     def certificate(self, alphas: Sequence[float]) -> DataFrame:
-        return certificate(self.dial(alphas))
+        return with_provenance(certificate(self.dial(alphas)), self.seed, self.verifiers, shipped().values(), "rules")
 
     def queue(self, alpha: float, limit: int = 25) -> DataFrame:
         """Without a feasible threshold the whole test set is under review."""
@@ -93,4 +100,4 @@ def build_session(spark: SparkSession, n_per_category: int = 200, fault_rate: fl
     placed = stages.keep(three_way_split(judged, ["category_id", "rec_ord", "val_ord"]), "placed")
     scorer = fit_scorer(placed.filter("split = 0"), list(verifiers))
     hard = any_hard(F.array(*[F.col(v) for v in verifiers]))
-    return Session(stages.keep(placed.withColumns({"score": scorer.score(), "hard": hard}), "scored"), scorer)
+    return Session(stages.keep(placed.withColumns({"score": scorer.score(), "hard": hard}), "scored"), scorer, verifiers=tuple(verifiers), seed=seed)
