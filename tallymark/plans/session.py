@@ -25,9 +25,10 @@ from tallymark.sources.synthetic import answer_key, generate_catalog
 def three_way_split(df: DataFrame, order: list[str]) -> DataFrame:
     """Adds ``ordinal`` and ``split`` (0 fit, 1 calibrate, 2 test) by position in a total order.
 
-    Rows are sorted across partitions; only the count of each partition meets in one place.
+    Rows are dealt by ranges and written once; only the count of each range meets in one place.
     """
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
+    placed = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
+    placed = Stages(df.sparkSession).keep(placed, "ranges")  # counted and numbered from one table, so both see the same ranges
     placed = placed.withColumn("__i", F.row_number().over(W.partitionBy("__p").orderBy(*order)))
     sizes = placed.groupBy("__p").agg(F.count("*").alias("n"))
     before = sizes.select("__p", F.expr("coalesce(sum(n) over (order by __p rows between unbounded preceding and 1 preceding), 0)").alias("__b"))
