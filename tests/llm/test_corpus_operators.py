@@ -155,6 +155,43 @@ def test_similar_lines_meet_by_edit_similarity_alone(spark):
     assert {x.doc_id for x in line_dedup.dedup_lines(docs).filter("__removed is not null").collect()} == gone
 
 
+def test_keys_move_in_classes(spark, monkeypatch):
+    """No table or shuffle holds the features of a line once a key; classes of keys change no result."""
+    r = random.Random(11)
+    words = ["".join(r.choices("abcdefghij", k=7)) for _ in range(60)]
+    lines = [" ".join(r.choices(words, k=12)) for _ in range(40)]
+    texts = ["\n".join(edited(r, x, r.choice((0, 1, 6))) for x in r.choices(lines, k=5)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held, save = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name="t": held.append((name, df.columns)) or save(self, df, name))
+
+    def removed():
+        return sorted((x.doc_id, sorted(x["__removed"])) for x in line_dedup.dedup_lines(docs).filter("__removed is not null").collect())
+
+    dealt = removed()
+    assert len(dealt) > 30
+    assert not [name for name, columns in held if "sig" in columns and "marks" in columns]
+    assert len([name for name, _ in held if name == "buckets"]) == line_dedup.PASSES > 1
+    monkeypatch.setattr(line_dedup, "PASSES", 1)
+    assert removed() == dealt
+
+
+def test_dealt_buckets_link_as_one(spark):
+    r = random.Random(5)
+    rows = sorted({(r.randrange(40), r.randrange(120)) for _ in range(260)})
+    df = spark.createDataFrame(rows, "sig long, node long").withColumn("rank", F.lit(0))
+    value = spark.range(120).select(F.col("id").alias("node"), F.expr("cast(xxhash64(id) % 9 as int)").alias("v"))
+    links = {}
+    for parts in (1, 3):
+        scratch = Scratch(spark, "t")
+        dealt = [linkage.shared_among(scratch, df.filter(F.col("sig") % parts == k).withColumn("n", F.lit(1))) for k in range(parts)]
+        out = linkage.links_among(scratch, dealt, lambda x, y: x["v"] - y["v"] <= 9, lambda p: p.join(value.toDF("a", "va"), "a").join(value.toDF("b", "vb"), "b").filter(F.abs(F.col("va") - F.col("vb")) <= 1).select("a", "b"), value)
+        links[parts] = {(x.node, x.component) for x in linkage.connected_components(scratch, out).collect()}
+    own = {x.node: x.v for x in value.collect()}
+    pairs = {(a, b) for s, a in rows for t, b in rows if s == t and a < b and abs(own[a] - own[b]) <= 1}
+    assert links[1] == links[3] == {(n, c) for n, c in enumerate(components(120, pairs)) if any(n in p for p in pairs)}
+
+
 def test_lines_of_frequent_words_meet(spark):
     line = "alpha alpha beta " * 8
     docs = spark.createDataFrame([(1, line + "omega9x"), (2, line + "sigma7q"), (3, "quite another line of words")], "doc_id long, text string")
