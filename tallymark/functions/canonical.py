@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.functions.quantities import format_g, literal_map, strip
+from tallymark.functions.quantities import bound, format_g, literal_map, strip
 from tallymark.sources.catalog import CODES, SYNONYMS
 
 #: A whole number and a fraction must be separated, so 15/16 is never read as 1 and 5/16.
@@ -28,16 +28,22 @@ def canonical_number(text: Column) -> Column:
 
     Separators of thousands and decimal commas are read, and numbers of a million or more keep their digits.
     """
-    t = strip(text)
     plain = r"^(-?(?:\d[\d,]*(?:\.\d+)?|\.\d+))"
-    digits = F.regexp_extract(t, plain, 1)
-    comma = digits.rlike(r"^-?\d+,\d+$") & ~digits.rlike(r"^-?\d+,\d{3}$")
-    number = F.when(comma, F.replace(digits, F.lit(","), F.lit("."))).otherwise(F.replace(digits, F.lit(","), F.lit(""))).try_cast("double")
-    fraction = _fraction(t, FRACTION)
-    value = F.coalesce(fraction, number)
-    suffix = strip(F.regexp_replace(t, F.when(fraction.isNotNull(), F.lit(FRACTION)).otherwise(F.lit(plain)), F.lit("")))
-    shown = F.when((F.abs(value) >= 1e6) & (value == F.floor(value)), value.cast("decimal(38,0)").cast("string")).otherwise(format_g(value))
-    return F.when(value.isNull(), F.lit(None).cast("string")).when(suffix.isin('"', "'"), F.concat(shown, suffix)).when(suffix == "", shown).otherwise(F.concat_ws(" ", shown, suffix))
+
+    def read(t: Column) -> Column:
+        digits = F.regexp_extract(t, plain, 1)
+        comma = digits.rlike(r"^-?\d+,\d+$") & ~digits.rlike(r"^-?\d+,\d{3}$")
+        number = F.when(comma, F.replace(digits, F.lit(","), F.lit("."))).otherwise(F.replace(digits, F.lit(","), F.lit(""))).try_cast("double")
+        fraction = _fraction(t, FRACTION)
+        rest = strip(F.regexp_replace(t, F.when(fraction.isNotNull(), F.lit(FRACTION)).otherwise(F.lit(plain)), F.lit("")))
+        return bound(F.struct(F.coalesce(fraction, number).alias("value"), rest.alias("suffix")), shown)
+
+    def shown(n: Column) -> Column:
+        value, suffix = n["value"], n["suffix"]
+        number = F.when((F.abs(value) >= 1e6) & (value == F.floor(value)), value.cast("decimal(38,0)").cast("string")).otherwise(format_g(value))
+        return F.when(value.isNotNull(), F.concat(number, F.when(suffix.isin('"', "'", ""), F.lit("")).otherwise(F.lit(" ")), suffix))
+
+    return bound(strip(text), read)
 
 
 def from_vocabulary(text: Column, vocabulary: Column) -> Column:
