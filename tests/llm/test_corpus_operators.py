@@ -1,6 +1,7 @@
 """Operators over the whole corpus, against brute force on small fixtures."""
 
 import random
+import time
 from collections import defaultdict
 
 import duckdb
@@ -176,6 +177,22 @@ def test_keys_move_in_classes(spark, monkeypatch):
     assert removed() == dealt
 
 
+def test_release_frees_the_last_shuffle(spark):
+    scratch, env = Scratch(spark, "t"), spark.sparkContext._jsc.sc().env()
+    held = lambda: env.mapOutputTracker().shuffleStatuses().size()
+    scratch.release()
+    time.sleep(1)
+    before = held()
+    scratch.save(spark.range(1000).repartition(4, "id").groupBy("id").count(), "x")
+    assert held() > before
+    scratch.release()
+    for _ in range(50):
+        if held() <= before:
+            return
+        time.sleep(0.1)
+    raise AssertionError("shuffles of the last query are still there")
+
+
 def test_dealt_buckets_link_as_one(spark):
     r = random.Random(5)
     rows = sorted({(r.randrange(40), r.randrange(120)) for _ in range(260)})
