@@ -177,6 +177,30 @@ def test_keys_move_in_classes(spark, monkeypatch):
     assert removed() == dealt
 
 
+def test_a_common_passage_brings_no_square_of_pairs(spark, monkeypatch):
+    """Different lines around one passage are not all compared; similar ones among them still meet."""
+    r = random.Random(3)
+    word = lambda n: "".join(r.choices("abcdefghijklmnopqrst", k=n))
+    passage = " ".join(word(12) for _ in range(6))
+    lines = [" ".join([*(word(r.choice((6, 7, 8))) for _ in range(9)), passage, *(word(7) for _ in range(9))]) for _ in range(90)]
+    origin = {x: x for x in lines} | {edited(r, x, 4): x for x in lines[:12]}
+    lines = r.sample(list(origin), len(origin))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    held, save = {}, Scratch.save
+
+    def spy(self, df, name="t"):
+        out = save(self, df, name)
+        if name.startswith("all-"):
+            held[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "save", spy)
+    gone = {x.doc_id for x in line_dedup.dedup_lines(docs).filter("__removed is not null").collect()}
+    first = {}
+    assert gone == {i for i, x in enumerate(lines) if first.setdefault(origin[x], i) != i} and len(gone) == 12
+    assert held["all-rest-pairs"] < 3 * len(lines)
+
+
 def test_release_frees_the_last_shuffle(spark):
     scratch, env = Scratch(spark, "t"), spark.sparkContext._jsc.sc().env()
     held = lambda: env.mapOutputTracker().shuffleStatuses().size()
