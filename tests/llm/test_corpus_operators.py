@@ -201,6 +201,38 @@ def test_a_common_passage_brings_no_square_of_pairs(spark, monkeypatch):
     assert held["all-rest-pairs"] < 3 * len(lines)
 
 
+def around_a_passage():
+    """60 different lines around one passage, and 8 near copies of them that differ in every word outside it."""
+    r = random.Random(4)
+    word = lambda n: "".join(r.choices("abcdefghijklmnopqrst", k=n))
+    passage = " ".join(word(12) for _ in range(6))
+    parts = [([word(7) for _ in range(4)], [word(7) for _ in range(4)]) for _ in range(60)]
+    lines = [" ".join([*a, passage, *b]) for a, b in parts]
+    return lines + [" ".join([*("z" + w[1:] for w in a), passage, *("z" + w[1:] for w in b)]) for a, b in parts[:8]]
+
+
+def test_similar_lines_that_share_only_common_keys_meet(spark):
+    docs = spark.createDataFrame(list(enumerate(around_a_passage())), "doc_id long, text string")
+    assert {x.doc_id for x in line_dedup.dedup_lines(docs).filter("__removed is not null").collect()} == set(range(60, 68))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_pairs_told_apart_by_contents_are_not_similar(spark, seed):
+    """``unlike`` holds for no pair that ``similar`` takes, spaced or not, and for most others."""
+    r = random.Random(seed)
+    words = ["".join(r.choices("aeinrstlmo", k=r.choice((1, 2, 5, 8)))) for _ in range(300)]
+    lines = [" ".join(r.choices(words, k=n)) for n in [5, 8, 12, 15, 20, 60] * 8] + ["".join(r.choices("abcdefgh", k=90)) for _ in range(4)]
+    lines += [edited(r, x, max(1, len(x) // r.choice((4, 6, 10, 30)))) for x in lines]
+    lines += [" ".join(edited(r, w, 1) if r.random() < 0.5 else w for w in x.split(" ")) for x in lines[:48]]
+    lines = sorted({" ".join(x.split()) for x in lines if len(x) > 24})
+    made = line_dedup.with_contents(spark.createDataFrame([(x, len(x)) for x in lines], "norm string, len int"))
+    sides = made.select(F.struct("norm", "len", "words", "grams", "vocabulary").alias("s"))
+    pairs = sides.select(F.col("s").alias("x")).crossJoin(sides.select(F.col("s").alias("y"))).filter("x.norm < y.norm and abs(x.len - y.len) <= 0.2 * greatest(x.len, y.len)")
+    told = pairs.select(line_dedup.unlike(F.col("x"), F.col("y")).alias("unlike"), F.col("x.norm").alias("norm_a"), F.col("y.norm").alias("norm_b"))
+    n = {(x[0], x[1]): x[2] for x in told.groupBy("unlike", line_dedup.similar(0.8).alias("similar")).count().collect()}
+    assert (True, True) not in n and n[False, True] > 30 and n[True, False] > 5 * n[False, False]
+
+
 def test_release_frees_the_last_shuffle(spark):
     scratch, env = Scratch(spark, "t"), spark.sparkContext._jsc.sc().env()
     held = lambda: env.mapOutputTracker().shuffleStatuses().size()
@@ -310,8 +342,7 @@ def test_queries_equal_sql(spark, name):
 
 
 def test_pipeline(spark):
-    import corpus_pipeline
-
+    
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     kept = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
