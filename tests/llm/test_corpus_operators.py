@@ -8,6 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tallymark.llm import line_dedup, linkage, ngram_join, warc
 from tallymark.llm.common import Scratch
 from tallymark.llm.registry import ORACLES, QUERIES
@@ -216,6 +217,13 @@ def test_similar_lines_that_share_only_common_keys_meet(spark):
     assert {x.doc_id for x in line_dedup.dedup_lines(docs).filter("__removed is not null").collect()} == set(range(60, 68))
 
 
+def test_pipeline_stage_drops_lines_that_share_only_common_keys(spark):
+    lines = around_a_passage()
+    docs = spark.createDataFrame([(k, f"{x}\n{k}", "en") for k, x in enumerate(lines)], "doc_id long, text string, lang string")
+    got = {x.doc_id: x.text for x in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert got == {k: f"{x}\n{k}" if k < 60 else str(k) for k, x in enumerate(lines)}
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_pairs_told_apart_by_contents_are_not_similar(spark, seed):
     """``unlike`` holds for no pair that ``similar`` takes, spaced or not, and for most others."""
@@ -342,7 +350,8 @@ def test_queries_equal_sql(spark, name):
 
 
 def test_pipeline(spark):
-    
+    import corpus_pipeline
+
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     kept = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
