@@ -24,12 +24,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import Scratch, binaries, bounded_batches, map_batches, table, words_of
+from tallymark.llm.common import Scratch, binaries, bounded_batches, map_batches, possibly_in, table, words_of
 from tallymark.llm.linkage import connected_components, gather_cells, links_among, nodes_of, shared_only
 
 CELLS_LOG2 = 20
 SIZES = 64
-#: Bits of the table that tells which sets are candidates.
+#: Bits of the tables that tell which sets and which texts are candidates.
 FILTER_LOG2 = 23
 CACHE_ENTRIES = 1 << 19
 #: Odd multipliers that tell the places of a word in an n-gram apart.
@@ -132,8 +132,8 @@ def as_lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
 
 
 def text_sets(docs: DataFrame, n: int, limit: Threshold) -> tuple[DataFrame, int]:
-    """Per row: doc_id, n_shingles, the set's key (k1, k2), how common it is, and its signatures; and the boundary."""
-    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    """Per row: doc_id, n_shingles, the set's key (k1, k2), the text's hash, how common the set is, and its signatures; and the boundary."""
+    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_hash().alias("own"))
     cells = 1 << CELLS_LOG2
 
     def fill(counts: np.ndarray, batch: pa.RecordBatch) -> None:
@@ -143,24 +143,24 @@ def text_sets(docs: DataFrame, n: int, limit: Threshold) -> tuple[DataFrame, int
             np.add.at(counts, (keys >> np.uint64(64 - CELLS_LOG2)).astype(np.int64), 1)
 
     bounded_batches(docs.sparkSession)
-    counts = gather_cells(own, fill, cells + 64 * SIZES, "<u8")
+    counts = gather_cells(own.select("doc_id", "text"), fill, cells + 64 * SIZES, "<u8")
     sizes, counts = counts[cells : cells + SIZES].astype(float), counts[:cells]
     mean = max(1e-9, counts.mean())
     boundary = choose_boundary(sizes, max(0.0, float((counts.astype(float) ** 2).sum() / max(1, counts.sum()) / mean - 1)), limit)
     shared = docs.sparkSession.sparkContext.broadcast(counts)
-    schema = "doc_id long, n int, k1 long, k2 long, common float, sig array<long>, slack array<int>, lone array<boolean>"
+    schema = "doc_id long, n int, k1 long, k2 long, own long, common float, sig array<long>, slack array<int>, lone array<boolean>"
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         order, rows, sigs, slacks, lones = shared.value, [], [], [], []
-        for doc_id, text in zip(batch.column(0).to_pylist(), binaries(batch.column(1)), strict=True):
+        for doc_id, text, there in zip(batch.column(0).to_pylist(), binaries(batch.column(1)), batch.column(2).to_pylist(), strict=True):
             keys = shingles(text, n)
             own = order[(keys >> np.uint64(64 - CELLS_LOG2)).astype(np.int64)]
-            rows.append((doc_id, len(keys), *set_key(keys), float(np.median(own)) if len(keys) else 0.0))
+            rows.append((doc_id, len(keys), *set_key(keys), there, float(np.median(own)) if len(keys) else 0.0))
             sig, slack, lone = signatures(keys, own, boundary, limit) if len(keys) else (np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0, bool))
             sigs.append(sig.view(np.int64))
             slacks.append(slack.astype(np.int32))
             lones.append(lone)
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float32()]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float32()]
         columns = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)]
         return pa.RecordBatch.from_arrays([*columns, as_lists(sigs, pa.int64()), as_lists(slacks, pa.int32()), as_lists(lones, pa.bool_())], [x.split()[0] for x in schema.split(", ")])
 
@@ -175,7 +175,7 @@ def join_ngrams(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> D
     made = scratch.save(found, "made")
     sets = scratch.save(made.select("doc_id", "n", "k1", "k2"), "sets")
     whole = [F.first(c).alias(c) for c in ("n", "common", "sig", "slack", "lone")]
-    reps = scratch.save(made.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *whole), "reps")
+    reps = scratch.save(made.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min("own").alias("own"), F.count("*").alias("copies"), *whole), "reps")
     scratch.drop(made)
     scratch.release()
     entries = reps.select(F.col("k1").alias("node"), F.explode(F.arrays_zip("sig", "slack", "lone")).alias("e"))
@@ -191,7 +191,9 @@ def join_ngrams(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> D
         return ~(x["lone"] & y["lone"]) & (F.least(x["n"] - x["slack"], y["n"] - y["slack"]) >= need)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        sets_of = candidate_sets(scratch, docs, scratch.save(nodes_of(pairs), "nodes"), n)
+        nodes = nodes_of(pairs).join(reps.select(F.col("k1").alias("node"), "own"), "node")
+        sets_of = candidate_sets(scratch, docs, scratch.save(nodes, "nodes"), n)
+        scratch.release()
         a, b = (sets_of.select(F.col("node").alias(c), F.col("keys").alias(f"keys_{c}")) for c in "ab")
 
         def link(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -201,7 +203,10 @@ def join_ngrams(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> D
                 keep.append(den * both >= num * ((len(x) + len(y)) // 8 - both))
             return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        return map_batches(pairs.join(a, "a").join(b, "b").select("a", "b", "keys_a", "keys_b"), link, "a long, b long")
+        held = scratch.save(map_batches(pairs.join(a, "a").join(b, "b").select("a", "b", "keys_a", "keys_b"), link, "a long, b long"), "verified")
+        scratch.drop(sets_of)
+        scratch.release()
+        return held
 
     links = links_among(scratch, buckets, feasible, verify)
     part = scratch.save(connected_components(scratch, links), "components")
@@ -213,10 +218,17 @@ def join_ngrams(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> D
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def text_hash() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def candidate_sets(scratch: Scratch, docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """(node, keys) of the sets in ``nodes``, made again from the texts; a bounded bit table keeps most others out."""
+    """(node, keys) of the sets in ``nodes`` (node, own), made again from the text of each with the hash ``own``.
+
+    Bounded bit tables keep most other texts from being read by Python, and most other sets from being moved.
+    """
     slots = 1 << FILTER_LOG2
-    bits = gather_cells(nodes, lambda t, b: t.__setitem__(b.column(0).to_numpy() & (slots - 1), 1), slots, "u1", np.bitwise_or)
+    bits = gather_cells(nodes.select("node"), lambda t, b: t.__setitem__(b.column(0).to_numpy() & (slots - 1), 1), slots, "u1", np.bitwise_or)
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits != 0))
 
     def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -230,7 +242,8 @@ def candidate_sets(scratch: Scratch, docs: DataFrame, nodes: DataFrame, n: int)
         node, data = zip(*rows, strict=True) if rows else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(data, pa.binary())], ["node", "keys"])
 
-    made = map_batches(docs.select(F.col("text").cast("string")), keys, "node long, keys binary")
+    texts = possibly_in(docs.select(F.col("text").cast("string").alias("text"), text_hash().alias("own")), nodes.select("own"), "own", slots // 64)
+    made = map_batches(texts.select("text"), keys, "node long, keys binary")
     return scratch.save(made.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "candidates")
 
 

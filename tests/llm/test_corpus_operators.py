@@ -83,6 +83,18 @@ def test_boundary_changes_no_link(spark, monkeypatch):
     assert ngram_join.join_ngrams(docs.limit(0)).count() == 0
 
 
+def test_only_candidate_texts_are_read_again(spark, monkeypatch):
+    """Shingles of a text that is in no candidate pair are made for the counters and for its signatures, not to verify."""
+    texts = [t for t in corpus(5, 60) if t] + [" ".join(f"lone{i}x{k}" for k in range(30)) for i in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    read, map_batches = [], ngram_join.map_batches
+    monkeypatch.setattr(ngram_join, "map_batches", lambda df, fn, schema: read.append((schema, df.count())) or map_batches(df, fn, schema))
+    got = {r.doc_id: r.component_id for r in ngram_join.join_ngrams(docs).collect()}
+    assert all(got[k] == k for k in range(len(texts) - 200, len(texts))) and any(got[k] != k for k in got)
+    again = [n for schema, n in read if schema == "node long, keys binary"]
+    assert again and max(again) < len(texts) - 200
+
+
 def test_representatives_keep_columns(spark):
     t = " ".join(f"w{k}" for k in range(40))
     docs = spark.createDataFrame([(5, t, "x"), (2, t + " tail", "y"), (9, None, "z"), (7, "", "q")], "doc_id long, text string, source string")
