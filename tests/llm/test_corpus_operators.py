@@ -214,6 +214,27 @@ def test_a_common_passage_brings_no_square_of_pairs(spark, monkeypatch):
     assert held["all-rest-pairs"] < 3 * len(lines)
 
 
+def test_middle_lines_that_are_apart_make_no_pairs(spark, monkeypatch):
+    """Of lines of up to 75 characters around one passage only similar ones are left to be verified."""
+    r = random.Random(9)
+    word = lambda n: "".join(r.choices("abcdefghijklmnopqrst", k=n))
+    passage = f"{word(17)} {word(18)}"
+    lines = [f"{word(8)} {word(8)} {passage} {word(9)} {word(8)}" for _ in range(60)]
+    lines += [edited(r, x, 3) for x in lines[:9]]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    held, save = {}, Scratch.save
+
+    def spy(self, df, name="t"):
+        out = save(self, df, name)
+        if name == "all-rest-pairs":
+            held[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "save", spy)
+    assert {x.doc_id for x in line_dedup.dedup_lines(docs).filter("__removed is not null").collect()} == set(range(60, 69))
+    assert held["all-rest-pairs"] <= 9
+
+
 def around_a_passage():
     """60 different lines around one passage, and 8 near copies of them that differ in every word outside it."""
     r = random.Random(4)
