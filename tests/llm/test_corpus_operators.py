@@ -404,3 +404,45 @@ def test_marks_of_many_tasks_do_not_wrap(spark):
     df = spark.range(0, 256, 1, 256).select("id")
     assert linkage.gather_cells(df, fill, 64, "u1", np.bitwise_or)[5] == 1
     assert linkage.gather_cells(df, fill, 64, "<u8")[5] == 256
+
+
+def test_ends_tell_pairs_around_a_passage_apart_and_lose_none(spark):
+    """Lines that hold one passage in different places are told apart by their ends; similar ones, however edited, are not."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choices("aeinrstlmoüß", k=r.choice((2, 4, 6, 9))))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passage = text(40)
+    apart = [(f"{text(a)} {passage} {text(35 - a)}", f"{text(b)} {passage} {text(35 - b)}") for a, b in [(0, 35), (5, 25), (30, 10), (35, 12), (18, 2)] * 4]
+    lines = [text(n) for n in (14, 30, 90) * 8]
+    near = [(x, edited(r, x, int(len(x) * share))) for x in lines for share in (0.05, 0.12, 0.16)]
+    near += [(x, x[int(len(x) * 0.1) :] + x[: int(len(x) * 0.09)][::-1]) for x in lines] + [(x, x[int(len(x) * 0.19) :]) for x in lines] + [(x[: int(len(x) * 0.81)], x) for x in lines]
+    df = spark.createDataFrame([(True, *x) for x in near] + [(False, *x) for x in apart], "near boolean, norm_a string, norm_b string")
+    exact = F.expr("levenshtein(norm_a, norm_b, cast(floor(greatest(length(norm_a), length(norm_b)) * 0.2 + 1e-9) as int)) >= 0")
+    n = {tuple(x[:3]): x[3] for x in df.groupBy("near", exact.alias("similar"), line_dedup.ends_apart(0.8).alias("apart")).count().collect()}
+    assert not any(similar and told for _, similar, told in n) and n[True, True, False] >= 96
+    assert n[False, False, True] >= 18
+
+
+def test_classes_are_dropped_one_by_one(spark):
+    scratch = Scratch(spark, "t")
+    df = spark.range(100).select("id", F.when(F.col("id") % 2 == 0, "x").alias("__class_of"))
+    for rows, n in ((df, 100), (df.limit(0), 0), (df.filter("id % 4 = 1"), 25)):
+        parts = scratch.save_classes(rows, F.col("id"), 4, "classes")
+        assert len(parts) == 4 and sum(x.count() for x in parts) == n and all(x.columns == df.columns for x in parts)
+        scratch.drop(parts[0])
+        assert sorted(x.id for p in parts[1:] for x in p.collect()) == sorted(x.id for x in rows.collect() if x.id % 4)
+
+
+def test_lines_go_class_by_class(spark, monkeypatch):
+    """When the last class of lines is collapsed, the others are gone."""
+    gone, drop = [], Scratch.drop
+    monkeypatch.setattr(Scratch, "drop", lambda self, *tables: (gone.extend(t._scratch_path for t in tables if "-lines" in getattr(t, "_scratch_path", "")), drop(self, *tables))[1])
+    docs = spark.createDataFrame([(k, f"the same line in every one of them\nand line {k} of its own"[: 60 + k]) for k in range(9)], "doc_id long, text string")
+    assert line_dedup.dedup_lines(docs).filter("__removed is not null").count() == 8
+    assert len(gone) == line_dedup.PASSES
+
+
+def test_freed_memory_goes_back(spark):
+    from tallymark.llm.common import trim_native_heap
+
+    assert trim_native_heap(spark) in (True, False)
